@@ -23,3 +23,8 @@ def strict_int(text: Column) -> Column:
 def iso_seconds(seconds: Column) -> Column:
     """Epoch seconds as ISO-8601 in UTC; the session's time zone must be UTC."""
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def base64_line(data: Column | str) -> Column:
+    """Base64 on one line, whatever the session's chunking."""
+    return F.translate(F.base64(data), "\r\n", "")
