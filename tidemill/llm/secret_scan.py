@@ -7,8 +7,6 @@ end exclusive.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,117 +32,74 @@ BLOCK = 256
 FAR = 1 << 40
 
 
-def running(values: Column, join: Callable[[Column, Column], Column], zero: int) -> Column:
-    """Running totals of an array of longs under an associative ``join``: in blocks, so a long array costs little more
-    than its length."""
-    size = F.size(values)
-    starts = F.when(size > 0, F.sequence(F.lit(0), F.floor((size - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
-    grow = lambda acc, x: F.concat(acc, F.array(join(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(zero).cast("long")), x)))
-    none = F.array().cast("array<long>")
-    blocks = F.transform(starts, lambda b: F.aggregate(F.slice(values, b * BLOCK + 1, F.lit(BLOCK)), none, grow))
-    ends = lambda bs: F.aggregate(F.transform(bs, lambda b: F.element_at(b, -1)), none, grow)
-    # a struct so that the blocks and their running ends are made once
-    both = F.transform(F.array(blocks), lambda bs: F.struct(bs.alias("b"), ends(bs).alias("e")))
-    return F.flatten(
-        F.flatten(
-            F.transform(
-                both,
-                lambda s: F.transform(
-                    s["b"], lambda b, i: F.transform(b, lambda x: join(F.when(i == 0, F.lit(zero).cast("long")).otherwise(F.get(s["e"], i - 1)), x))
-                ),
-            )
-        )
-    )
-
-
-def _rows(df: DataFrame, name: str, pattern: str, guard: Column) -> DataFrame:
-    """Adds the matched strings and the gaps before them, where ``guard`` holds."""
-    none = F.array().cast("array<string>")
-    text = F.col("text_")
-    found = F.when(guard, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
-    gaps = F.when(guard, F.split(text, pattern, -1)).otherwise(none)
-    return df.withColumn(f"{name}_found", found).withColumn(f"{name}_gaps", gaps)
-
-
-def _spans(name: str, kind: Callable[[Column], Column]) -> tuple[Column, Column]:
-    """Spans (start, rank, end) of the matches; ``kind`` gives the place in KINDS, or null to drop the match."""
-    found, gaps = F.col(f"{name}_found"), F.col(f"{name}_gaps")
-    steps = F.transform(found, lambda m, i: (F.length(F.get(gaps, i)) + F.length(m)).cast("long"))
-    ends = F.col(f"{name}_ends")
-    spans = F.transform(found, lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("start"), kind(i).cast("int").alias("rank"), F.get(ends, i).alias("end")))
-    return steps, F.filter(spans, lambda s: s["rank"].isNotNull())
-
-
-def _located(df: DataFrame, name: str, kind: Callable[[Column], Column]) -> DataFrame:
-    steps, spans = _spans(name, kind)
-    return df.withColumn(f"{name}_ends", running(steps, lambda a, b: a + b, 0)).withColumn(f"{name}_spans", spans)
+def running(values: str, join: str, zero: int) -> str:
+    """SQL for the running totals of an array column of longs. ``join`` combines {a} and {b} and is associative; it runs in
+    blocks, so that a long array costs little more than its length."""
+    start = f"CAST({zero} AS BIGINT)"
+    grow = "(acc, x) -> concat(acc, array({}))".format(join.format(a=f"coalesce(get(acc, size(acc) - 1), {start})", b="x"))
+    none = "CAST(array() AS ARRAY<BIGINT>)"
+    starts = f"IF(size({values}) > 0, sequence(0, CAST(floor((size({values}) - 1) / {BLOCK}) AS INT)), CAST(array() AS ARRAY<INT>))"
+    blocks = f"transform({starts}, k -> aggregate(slice({values}, k * {BLOCK} + 1, {BLOCK}), {none}, {grow}))"
+    ends = f"aggregate(transform(bs, t -> element_at(t, -1)), {none}, {grow})"
+    whole = join.format(a=f"IF(k = 0, {start}, get(s.e, k - 1))", b="x")
+    # one struct, so that the blocks and their running ends are made once
+    return f"""flatten(flatten(transform(transform(array({blocks}), bs -> named_struct('b', bs, 'e', {ends})),
+        s -> transform(s.b, (t, k) -> transform(t, x -> {whole})))))"""
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``spans_``: array of (start, rank, end), ordered; rank is a place in KINDS.
 
-    Narrow, one pass per pattern over whole texts. Parts are linked by an interval join inside the row: all parts
-    in order of their start, with the running largest end of what lies before and smallest start of what follows
-    for each kind, tell in linear time whether a complementary part is within SCOPE code points. A weak secret
-    needs an identifier, an identifier needs a secret, an endpoint needs both. Weak parts that overlap a base span
-    are dropped. A null or empty text has no spans; other columns are kept.
+    Narrow, whole texts, no Python. Parts are linked by an interval join inside the row: all parts in order of their
+    start, with the running largest end of what lies before and smallest start of what follows for each kind, tell in
+    linear time whether a complementary part is within SCOPE code points. A weak secret needs an identifier, an
+    identifier needs a secret, an endpoint needs both. Weak parts that overlap a base span are dropped. A null or
+    empty text has no spans; other columns are kept (names of this function's own end in an underscore).
     """
     columns = docs.columns
     df = docs.withColumn("text_", F.coalesce(F.col(text_col), F.lit("")))
     text = F.col("text_")
-    value = r"(?i)(password|passwd|secret|token|api_?key)"
-    named = text.rlike(value)
-    df = _rows(df, "assign", ASSIGN, named)
+    # pattern, and a cheaper test that every text with a match passes
+    scans = {
+        "assign": (ASSIGN, text.rlike("(?i)password|passwd|secret|token|api_?key")),
+        "access": (ACCESS, text.contains("AKIA")),
+        "hex": (HEX, text.rlike(HEX)),
+        "ident": (IDENT, text.rlike("(?i)_id|user|login")),
+        "bare": (BARE, text.rlike("[A-Za-z0-9+/]{32}")),
+        "endpoint": (ENDPOINT, text.contains("://")),
+    }
     none = F.array().cast("array<string>")
-    df = df.withColumn("assign_values", F.when(named, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))).otherwise(none))
-    df = _rows(df, "access", ACCESS, text.contains("AKIA"))
-    df = _rows(df, "hex", HEX, text.rlike(HEX))
-    df = _rows(df, "ident", IDENT, text.rlike(IDENT))
-    df = _rows(df, "bare", BARE, text.rlike("[A-Za-z0-9+/]{32}"))
-    df = _rows(df, "endpoint", ENDPOINT, text.contains("://"))
-
-    def assign_kind(i: Column) -> Column:
-        size = F.length(F.get(F.col("assign_values"), i))
-        return F.when(size >= ASSIGN_CHARS, F.lit(0)).when(size >= WEAK_CHARS, F.lit(4))
-
-    df = _located(df, "assign", assign_kind)
-    for name, rank in (("access", 1), ("hex", 2), ("ident", 3), ("bare", 4), ("endpoint", 5)):
-        df = _located(df, name, lambda i, rank=rank: F.lit(rank) + i * 0)
-    every = F.array_sort(F.concat(*[F.col(f"{n}_spans") for n in ("assign", "access", "hex", "ident", "bare", "endpoint")]))
-    df = df.select(*columns, every.alias("parts_"))
-    return df.withColumn("spans_", _linked(F.col("parts_"))).select(*columns, "spans_")
-
-
-def _linked(parts: Column) -> Column:
-    """Base spans, and the weaker ones whose complements are near."""
-    later = lambda a, b: F.greatest(a, b)
-    sooner = lambda a, b: F.least(a, b)
-
-    def reach(ranks: list[int]) -> tuple[Column, Column]:
-        ends = F.transform(parts, lambda p: F.when(p["rank"].isin(ranks), p["end"]).otherwise(F.lit(-FAR)))
-        starts = F.transform(F.reverse(parts), lambda p: F.when(p["rank"].isin(ranks), p["start"]).otherwise(F.lit(FAR)))
-        return running(ends, later, -FAR), F.reverse(running(starts, sooner, FAR))
-
-    def near(reached: Column, name: str, p: Column, i: Column, scope: int) -> Column:
-        return (F.get(reached[f"{name}_end"], i) > p["start"] - scope) | (F.get(reached[f"{name}_start"], i) < p["end"] + scope)
-
-    named = {"base": [0, 1, 2], "ident": [1, 3], "secret": [0, 4]}
-    fields = []
-    for name, ranks in named.items():
-        end, start = reach(ranks)
-        fields += [end.alias(f"{name}_end"), start.alias(f"{name}_start")]
-    table_ = F.array(F.struct(parts.alias("parts"), *fields))
-
-    def pick(row: Column) -> Column:
-        def keep(p: Column, i: Column) -> Column:
-            ident, secret = near(row, "ident", p, i, SCOPE), near(row, "secret", p, i, SCOPE)
-            needed = F.when(p["rank"] == 4, ident).when(p["rank"] == 3, secret).otherwise(ident & secret)
-            return (p["rank"] <= 2) | (needed & ~near(row, "base", p, i, 0))
-
-        return F.filter(row["parts"], keep)
-
-    weak = F.exists(parts, lambda p: p["rank"] > 2)
-    return F.when(weak, F.flatten(F.transform(table_, pick))).otherwise(parts)
+    matches = {f"{n}_found_": F.when(guard, F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for n, (p, guard) in scans.items()}
+    gaps = {f"{n}_gaps_": F.when(F.size(f"{n}_found_") > 0, F.split(text, p, -1)).otherwise(none) for n, (p, _) in scans.items()}
+    gaps["assign_values_"] = F.when(F.size("assign_found_") > 0, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))).otherwise(none)
+    steps = {f"{n}_steps_": F.expr(f"transform({n}_found_, (m, i) -> CAST(length(get({n}_gaps_, i)) + length(m) AS BIGINT))") for n in scans}
+    ends = {f"{n}_ends_": F.expr(running(f"{n}_steps_", "{a} + {b}", 0)) for n in scans}
+    df = df.withColumns(matches).withColumns(gaps).withColumns(steps).withColumns(ends)
+    value = "length(get(assign_values_, i))"
+    ranks = {"assign": f"CASE WHEN {value} >= {ASSIGN_CHARS} THEN 0 WHEN {value} >= {WEAK_CHARS} THEN 4 END", "access": 1, "hex": 2, "ident": 3, "bare": 4, "endpoint": 5}
+    spans = ", ".join(
+        f"filter(transform({n}_found_, (m, i) -> named_struct('start', get({n}_ends_, i) - length(m), 'rank', CAST({r} AS INT), 'end', get({n}_ends_, i))), p -> p.rank IS NOT NULL)"
+        for n, r in ranks.items()
+    )
+    return _linked(df.select(*columns, F.expr(f"array_sort(concat({spans}))").alias("parts_"))).select(*columns, "spans_")
+
+
+def _linked(df: DataFrame) -> DataFrame:
+    """``spans_``: the base spans of ``parts_``, and the weaker ones whose complements are near."""
+    kinds = {"base": "0, 1, 2", "ident": "1, 3", "secret": "0, 4"}
+    weak = "exists(parts_, p -> p.rank > 2)"
+    none = "CAST(array() AS ARRAY<BIGINT>)"
+    reach = {}
+    for name, among in kinds.items():
+        reach[f"{name}_end_"] = F.expr(f"IF({weak}, transform(parts_, p -> IF(p.rank IN ({among}), p.end, -{FAR})), {none})")
+        reach[f"{name}_start_"] = F.expr(f"IF({weak}, transform(reverse(parts_), p -> IF(p.rank IN ({among}), p.start, {FAR})), {none})")
+    joined = {f"{n}_end_": F.expr(running(f"{n}_end_", "greatest({a}, {b})", -FAR)) for n in kinds}
+    joined |= {f"{n}_start_": F.expr(f"reverse({running(f'{n}_start_', 'least({a}, {b})', FAR)})") for n in kinds}
+    near = lambda n, scope: f"(get({n}_end_, i) > p.start - {scope} OR get({n}_start_, i) < p.end + {scope})"
+    ident, secret = near("ident", SCOPE), near("secret", SCOPE)
+    needed = f"CASE p.rank WHEN 4 THEN {ident} WHEN 3 THEN {secret} ELSE {ident} AND {secret} END"
+    kept = f"IF({weak}, filter(parts_, (p, i) -> p.rank <= 2 OR ({needed} AND NOT {near('base', 0)})), parts_)"
+    return df.withColumns(reach).withColumns(joined).withColumn("spans_", F.expr(kept))
 
 
 def _written(spans: Column) -> Column:
