@@ -65,7 +65,7 @@ def exact_dedup(
     if collided.isEmpty():
         keyed = base.withColumn("part", F.lit(None).cast("binary"))
     else:  # different bytes under one hash: their SHA-256 tells them apart
-        keyed = base.join(collided.withColumn("mixed", F.lit(True)), "digest", "left").withColumn("part", F.when("mixed", F.col("sha")))
+        keyed = base.join(collided.withColumn("mixed", F.lit(True)), "digest", "left").withColumn("part", F.when(F.col("mixed"), F.col("sha")))
     rank = F.struct(-F.col("points"), F.col("id").isNull(), F.col("id"), F.col("row"))
     groups = keyed.groupBy("digest", "part").agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("best")).filter("group_size > 1")
     right = groups.select(F.col("digest").alias("g_digest"), F.col("part").alias("g_part"), "group_size", "best")
