@@ -95,8 +95,32 @@ def test_components_of_texts(spark):
     found = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash_dedup.simhash_components(frame(spark, list(zip(ids, texts, strict=True)))).collect()}
     assert found == {i: (f"{p:016x}", smallest[r]) for i, p, r in zip(ids, prints, root, strict=True)}
     assert len(set(root)) < len(texts)
-    left = simhash_dedup.drop_near_copies(frame(spark, list(zip(ids, texts, strict=True))))
-    assert sorted(r["doc_id"] for r in left.collect()) == sorted(smallest.values())
+
+
+def test_near_copies(spark):
+    """Texts of a similarity of 0.85 and more go but for one; those below 0.6 stay."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts, group = ["", None, "one", "two words"], [0, 0, 1, 2]
+    for g in range(3, 60):
+        words = rng.choices(vocabulary, k=rng.randint(60, 300))
+        for copy in range(rng.randint(1, 4)):
+            other = list(words)
+            if copy:
+                for _ in range(len(words) // 80 + 1 if len(words) > 120 else 1):
+                    other[rng.randrange(len(other))] = "changed"
+            texts.append(" ".join(other))
+            group.append(g)
+    for g in range(60, 90):  # a third of the words are others
+        words = rng.choices(vocabulary, k=100)
+        other = [w if rng.random() < 0.67 else "other" for w in words]
+        texts += [" ".join(words), " ".join(other)]
+        group += [1000 + g, 2000 + g]
+    left = simhash_dedup.drop_near_copies(frame(spark, list(enumerate(texts))))
+    kept = [r["doc_id"] for r in left.collect()]
+    assert left.columns == ["doc_id", "text", "fp", "best"]
+    first = {g: group.index(g) for g in group}
+    assert set(first.values()) <= set(kept) and len(kept) <= len(first) + 2
 
 
 @pytest.mark.parametrize("shard", [8, 64, 4096])
@@ -110,7 +134,7 @@ def test_links_against_brute_force(spark, shard):
             prints.add(p ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))
     prints = sorted(prints)
     signed = np.array(prints, np.uint64).view(np.int64).tolist()
-    links = simhash_dedup.fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long"), shard=shard)
+    links = simhash_dedup.fingerprint_links(spark.createDataFrame([(x, x) for x in signed], "node long, w0 long"), simhash_dedup.block_keys(4), shard=shard)
     roots = {r["a"]: r["b"] for r in graph.connected_components(links).collect()}
     got = [roots.get(x, x) for x in signed]
     want = plain_components(prints, 3)
@@ -122,7 +146,7 @@ def test_tree_follows_only_near_edges():
     values = rng.integers(0, 2**63, 500).astype(np.uint64)
     values = np.unique(np.r_[values, values[:50] ^ np.uint64(5)])
     pairs = set()
-    for i, j in simhash_dedup.BkTree(values).link(values, 3):
+    for i, j in simhash_dedup.BkTree(values[:, None]).link(values[:, None], 3):
         pairs |= set(zip(i.tolist(), j.tolist(), strict=True))
     assert pairs == {(i, j) for i in range(len(values)) for j in range(len(values)) if int(values[i] ^ values[j]).bit_count() <= 3}
 

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.graph import connected_components
@@ -24,12 +24,26 @@ LEAF = 32
 #: Fingerprints of one block value in one tree; larger buckets are split into several trees.
 SHARD = 4096
 
+# Near copies by word shingles of a Jaccard similarity of 0.8 and more: at 0.8 a bit differs with probability 0.15
+# (the angle between the sets over pi), so a wide fingerprint separates them from texts that merely share words.
+NEAR_WORDS = 5
+NEAR_FIELDS = 4
+#: Bits of 256 in which near copies may differ (39 are expected at a similarity of 0.8, 128 without any).
+NEAR_RADIUS = 46
+#: Pairs of bytes (k, k xor step) that near copies are looked up by: 16 pairs for each step.
+NEAR_STEPS = (1, 2, 3)
+
 
 def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
     """Unsigned 64-bit fingerprint: a bit is set if it is set in over half of the shingles' XXH64 values."""
+    return simhash_fields(text, words, 1)[0]
+
+
+def simhash_fields(text: str | None, words: int, fields: int) -> list[int]:
+    """``fields`` unsigned 64-bit fingerprints; the first is ``simhash``, the others are of remixed hashes."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return 0
+        return [0] * fields
     if len(tokens) < words:
         shingles = iter([b" ".join(tokens)])
         n = 1
@@ -37,20 +51,34 @@ def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
         shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False))
         n = len(tokens) - words + 1
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
+    counts = np.zeros((fields, 64), np.int64)
     for start in range(0, n, CHUNK):
         size = min(CHUNK, n - start)
         h = np.fromiter((digest(next(shingles), SEED) for _ in range(size)), np.uint64, size)
-        counts += np.unpackbits(h.view(np.uint8).reshape(size, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+        for field in range(fields):
+            if field:
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            counts[field] += np.unpackbits(h.view(np.uint8).reshape(size, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+
+
+def _simhashes(words: int, fields: int):
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = np.array([simhash_fields(t, words, fields) for t in texts], np.uint64).reshape(len(texts), fields).view(np.int64)
+        return pd.DataFrame({f"w{i}": found[:, i] for i in range(fields)})
 
+    return F.pandas_udf(run, ", ".join(f"w{i} long" for i in range(fields)))
 
-def _simhashes(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.fromiter(map(simhash, texts), np.uint64, len(texts)).view(np.int64))
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints whose last axis holds their fields."""
+    bits = np.bitwise_count(a ^ b)
+    return bits[..., 0] if bits.shape[-1] == 1 else bits.sum(axis=-1, dtype=np.int16)
 
 
 class BkTree:
-    """A Burkhard-Keller tree over 64-bit values: children are keyed by their Hamming distance to the parent.
+    """A Burkhard-Keller tree over fingerprints (rows of 64-bit fields): children are keyed by their Hamming distance to the parent.
 
     ``link`` sends a set of queries down at once, follows only the edges whose key is within the radius of the
     query's distance to the parent, and hands over (tree position, query position) pairs within the radius.
@@ -69,10 +97,10 @@ class BkTree:
                 holder[key] = part
                 continue
             pivot, rest = part[0], part[1:]
-            distance = np.bitwise_count(self.values[rest] ^ self.values[pivot])
+            apart = distance(self.values[rest], self.values[pivot])
             children: dict[int, object] = {}
             holder[key] = (pivot, children)
-            todo += [(rest[distance == d], children, int(d)) for d in np.unique(distance)]
+            todo += [(rest[apart == d], children, int(d)) for d in np.unique(apart)]
         return top[0]
 
     def link(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -81,17 +109,18 @@ class BkTree:
             node, asked = todo.pop()
             if isinstance(node, tuple):
                 pivot, children = node
-                distance = np.bitwise_count(queries[asked] ^ self.values[pivot]).astype(np.int16)
-                near = asked[distance <= radius]
+                apart = distance(queries[asked], self.values[pivot]).astype(np.int16)
+                near = asked[apart <= radius]
                 yield np.full(len(near), pivot), near
                 for d, child in children.items():
-                    follow = asked[np.abs(distance - d) <= radius]
+                    follow = asked[np.abs(apart - d) <= radius]
                     if len(follow):
                         todo.append((child, follow))
             else:
-                hit = np.bitwise_count(self.values[node][:, None] ^ queries[asked][None, :]) <= radius
-                i, j = np.nonzero(hit)
-                yield node[i], asked[j]
+                for at in range(0, len(asked), SHARD):
+                    part = asked[at : at + SHARD]
+                    i, j = np.nonzero(distance(self.values[node][:, None], queries[part][None, :]) <= radius)
+                    yield node[i], part[j]
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -119,10 +148,8 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return target[label]
 
 
-def _cell_links(values: np.ndarray, in_tree: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a cell as stars: (member, smallest member of its set inside the cell)."""
-    order = np.argsort(values, kind="stable")
-    values, in_tree = values[order], in_tree[order]
+def _cell_links(nodes: np.ndarray, values: np.ndarray, in_tree: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a cell as stars: (node, first node of its set inside the cell)."""
     tree_at = np.flatnonzero(in_tree)
     asked_at = tree_at if len(tree_at) == len(values) else np.flatnonzero(~in_tree)
     tree, queries = BkTree(values[tree_at]), values[asked_at]
@@ -130,7 +157,21 @@ def _cell_links(values: np.ndarray, in_tree: np.ndarray, radius: int) -> tuple[n
     for i, j in tree.link(queries, radius):
         label = _merge(label, tree_at[i], asked_at[j])
     moved = np.flatnonzero(label != np.arange(len(values)))
-    return values[moved], values[label[moved]]
+    return nodes[moved], nodes[label[moved]]
+
+
+def _worth_a_tree(start: np.ndarray, stop: np.ndarray, values: np.ndarray, radius: int) -> np.ndarray:
+    """Which cells may have a link: large ones, and small ones where a pair is within the radius (all cells at once)."""
+    size = stop - start
+    worth = size > LEAF
+    owner = np.repeat(np.arange(len(start)), size)
+    small = np.flatnonzero(~worth[owner] & (size[owner] > 1))
+    for step in range(1, LEAF):
+        small = small[small + step < stop[owner[small]]]
+        if not len(small):
+            break
+        worth[owner[small[distance(values[small], values[small + step]) <= radius]]] = True
+    return worth
 
 
 def _link_cells(radius: int):
@@ -139,7 +180,9 @@ def _link_cells(radius: int):
 
         def rows(flush: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held
-            data = np.concatenate(held, axis=1) if held else np.zeros((5, 0), np.int64)
+            if not held:
+                return
+            data = np.concatenate(held, axis=1)
             if not data.shape[1]:
                 return
             start = np.flatnonzero(np.r_[True, (np.diff(data[:3], axis=1) != 0).any(axis=0)])
@@ -147,86 +190,112 @@ def _link_cells(radius: int):
             held = [] if flush else [data[:, start[-1] :]]
             if not flush:
                 start, stop = start[:-1], stop[:-1]
+            nodes, in_tree = data[3], data[4] == 1
+            values = np.ascontiguousarray(data[5:].T).view(np.uint64)
             left, right = [], []
-            for s, e in zip(start[stop - start > 1], stop[stop - start > 1], strict=True):
-                a, b = _cell_links(data[3, s:e].view(np.uint64), data[4, s:e] == 1, radius)
+            for c in np.flatnonzero(_worth_a_tree(start, stop, values, radius)).tolist():
+                s, e = start[c], stop[c]
+                a, b = _cell_links(nodes[s:e], values[s:e], in_tree[s:e], radius)
                 left.append(a)
                 right.append(b)
             if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (left, right)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], ["a", "b"])
 
         for batch in batches:
             held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
-            yield from rows(False)
+            if held[-1].shape[1] and (held[-1][:3, -1] != held[0][:3, 0]).any():
+                yield from rows(False)
         yield from rows(True)
 
     return run
 
 
-def fingerprint_links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, pieces: int | None = None) -> DataFrame:
-    """Links (a, b) that connect exactly the fingerprints within ``radius`` bits of each other.
+def block_keys(pieces: int) -> list[Column]:
+    """Blocks of a 64-bit fingerprint. Fingerprints differing in fewer bits than there are blocks
+    agree on one of them, so looking up by blocks misses no link."""
+    cuts = [64 * i // pieces for i in range(pieces + 1)]
+    return [F.shiftrightunsigned("w0", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+
+def byte_pair_keys(fields: int, steps: tuple[int, ...]) -> list[Column]:
+    """Values of pairs of bytes of a wide fingerprint. Two fingerprints that differ in a share p of their bits agree on
+    one of n pairs with probability 1 - (1 - (1 - p)**16)**n."""
+    byte = lambda k: F.shiftrightunsigned(f"w{k // 8}", 8 * (k % 8)).bitwiseAND(255)
+    return [F.shiftleft(byte(k), 8).bitwiseOR(byte(k ^ step)) for step in steps for k in range(8 * fields) if k < k ^ step]
+
 
-    Values that differ in at most r bits agree on one of r + 1 blocks of bits, so a tree is built for each block
-    value (and, where a value has more than ``shard`` fingerprints, for each part of it, which the other parts
-    then ask as well). A tree holds ``shard`` fingerprints of one block value at most and travels with the
-    shuffle to its queries. Links leave a tree as stars, never as all pairs. ``pieces`` (radius + 1 at least)
-    sets the number of blocks. ``prints``: distinct non-null longs in column ``fp``.
+def fingerprint_links(prints: DataFrame, keys: list[Column], radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """Links (a, b) that connect the fingerprints within ``radius`` bits of each other that share one of ``keys``.
+
+    A tree is built for each value of each key (and, where a value has more than ``shard`` fingerprints, for each
+    part of it, which the other parts then ask as well). A tree holds ``shard`` fingerprints or so and travels with the
+    shuffle to its queries. Links leave a tree as stars, never as all pairs. ``prints``: distinct fingerprints
+    in longs w0, w1, ..., each with its own long ``node``.
     """
-    pieces = pieces or radius + 1
-    cuts = [64 * i // pieces for i in range(pieces + 1)]
-    blocks = F.array(*[
-        F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1).alias("value"))
-        for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))
-    ])
-    keyed = prints.select("fp", F.inline(blocks))
+    fields = [c for c in prints.columns if c.startswith("w")]
+    blocks = F.array(*[F.struct(F.lit(i).alias("block"), v.cast("long").alias("value")) for i, v in enumerate(keys)])
+    keyed = prints.select("node", *fields, F.inline(blocks))
     hot = keyed.groupBy("block", "value").count().filter(F.col("count") > shard)
     parts = F.coalesce(F.ceil(F.col("count") / shard), F.lit(1)).cast("int")
     placed = keyed.join(hot, ["block", "value"], "left").withColumn("parts", parts)
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
     # cell (i, j), i <= j: the tree of part i, asked by part j
     cells = placed.select(
-        "fp", "block", "value", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+        "node", *fields, "block", "value", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     ).select(
-        (F.col("value") * pieces + F.col("block")).alias("key"),
+        (F.col("value") * len(keys) + F.col("block")).alias("key"),
         F.least("part", "other").cast("long").alias("i"),
         F.greatest("part", "other").cast("long").alias("j"),
-        "fp",
+        "node",
         (F.col("part") <= F.col("other")).cast("long").alias("in_tree"),
+        *fields,
     )
-    spread = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    spread = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     return spread.mapInArrow(_link_cells(radius), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row per row of ``docs``: fingerprint (16 hex digits) and smallest id reachable over links.
+def simhash_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, fields: int = 1, radius: int = RADIUS, keys: list[Column] | None = None
+) -> DataFrame:
+    """One row per row of ``docs``: fingerprint (16 hex digits a field) and smallest id reachable over links.
 
-    Words are maximal runs without ASCII white space, A-Z lower-cased; shingles are three words with repeats.
-    Fewer words give one shingle; a null, empty or blank text has fingerprint zero and links like any other.
+    Words are maximal runs without ASCII white space, A-Z lower-cased; shingles are ``words`` words with repeats.
+    Fewer words give one shingle; a null, empty or blank text has fingerprint zero and links like any other. With
+    one field, and without ``keys``, no link within the radius is missed; several fields are looked up by ``keys``.
     Repeated rows and ids each get their row. component_id is null only if every id of the component is. An empty
     table gives no rows; other columns are ignored. ``chosen`` marks the rows of one (id, text) of each component.
     """
-    fingerprint = F.pandas_udf(_simhashes, "long")
-    base = durable(docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("text_key"), fingerprint(F.col(text_col)).alias("fp")))
+    names = [f"w{i}" for i in range(fields)]
+    keys = keys or block_keys(radius + 1)
+    base = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("text_key"), _simhashes(words, fields)(F.col(text_col)).alias("fp"))
+    # one field is its own node; more are named by a hash of them
+    node = F.col("fp.w0") if fields == 1 else F.xxhash64(*[f"fp.{n}" for n in names])
+    base = durable(base.select("id", "text_key", node.alias("node"), "fp.*"))
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("text_key").alias("text_key")))
-    prints = durable(base.groupBy("fp").agg(best.alias("best"), F.count(F.lit(1)).alias("n")))
-    roots = connected_components(fingerprint_links(prints.select("fp"), radius))
-    linked = prints.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left")
-    linked = linked.withColumn("root", F.coalesce("root", "fp"))
+    prints = durable(base.groupBy("node", *names).agg(best.alias("best"), F.count(F.lit(1)).alias("n")))
+    roots = connected_components(fingerprint_links(prints.select("node", *names), keys, radius))
+    linked = prints.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
+    linked = linked.withColumn("root", F.coalesce("root", "node"))
     tops = linked.groupBy("root").agg(F.min("best").alias("top"), F.sum("n").alias("n")).filter("n > 1")
-    named = linked.join(tops.select("root", "top"), "root").select(F.col("fp").alias("named_fp"), "top")
-    joined = base.join(named, base["fp"] == named["named_fp"], "left")
+    named = linked.join(tops.select("root", "top"), "root").select(F.col("node").alias("named"), "top").distinct()
+    joined = base.join(named, base["node"] == named["named"], "left")
     return joined.select(
         F.col("id").alias(id_col),
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.lower(F.concat(*[F.lpad(F.hex(n), 16, "0") for n in names])).alias("fingerprint"),
         F.when(F.col("top").isNull(), F.col("id")).otherwise(F.col("top.id")).alias("component_id"),
         (F.col("top").isNull() | (F.col("id").eqNullSafe(F.col("top.id")) & (F.col("text_key") == F.col("top.text_key")))).alias("chosen"),
         "text_key",
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One document of each component stays."""
-    found = simhash_components(docs, id_col, text_col, radius)
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``simhash_components`` for texts whose sets of five-word shingles have a similarity of 0.8 and more."""
+    return simhash_components(docs, id_col, text_col, NEAR_WORDS, NEAR_FIELDS, NEAR_RADIUS, byte_pair_keys(NEAR_FIELDS, NEAR_STEPS))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component of near copies stays."""
+    found = near_copies(docs, id_col, text_col)
     return keep_rows(docs, found.filter("chosen").select(id_col, "text_key"), id_col, text_col)
 
 
