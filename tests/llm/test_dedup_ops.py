@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import bm25_search, exact_dedup, graph, simhash_dedup
 
-DOCS = "doc_id long, text string, fp string, best string"
+DOCS = "doc_id long, text string, text_key string, row_ string"
 
 
 def frame(spark, rows):
@@ -42,7 +42,7 @@ def test_exact_dedup(spark, weak):
 
 def test_drop_exact_copies(spark):
     left = exact_dedup.drop_exact_copies(frame(spark, COPIES))
-    assert left.columns == ["doc_id", "text", "fp", "best"]
+    assert left.columns == ["doc_id", "text", "text_key", "row_"]
     assert sorted((r["doc_id"], len(r["text"] or "")) for r in left.collect()) == [(3, 7), (6, 2), (7, 3), (8, 2), (11, 100_000)]
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
 
@@ -118,7 +118,7 @@ def test_near_copies(spark):
         group += [1000 + g, 2000 + g]
     left = simhash_dedup.drop_near_copies(frame(spark, list(enumerate(texts))))
     kept = [r["doc_id"] for r in left.collect()]
-    assert left.columns == ["doc_id", "text", "fp", "best"]
+    assert left.columns == ["doc_id", "text", "text_key", "row_"]
     first = {g: group.index(g) for g in group}
     assert set(first.values()) <= set(kept) and len(kept) <= len(first) + 2
 

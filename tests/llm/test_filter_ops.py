@@ -72,7 +72,7 @@ def test_toxicity(spark):
         rows.append((i, " ".join(words), "x", 1.0))
         labels.append((i, 1, int(bad)))
     rows += [(5000, None, "x", 1.0), (5001, "", "x", 1.0), (None, "w1", "x", 1.0), (0, rows[0][1], "x", 1.0), (5002, "w1 " * 50_000, "x", 1.0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string, score_ double")
     marks = spark.createDataFrame([*labels, (None, 1, 1), (7, 1, None)], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, marks)
     found = toxicity.toxicity_scores(docs, model).collect()
@@ -135,7 +135,8 @@ def test_running_totals(spark):
 
 
 def test_redaction(spark):
-    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(SECRETS)], "doc_id long, text string, n_chars long")
+    docs = spark.createDataFrame([(i, t, len(t or ""), "a", "b", "c") for i, t in enumerate(SECRETS)], "doc_id long, text string, n_chars long, spans_ string, row_ string, text_ string")
+    assert secret_scan.redact(docs).columns == docs.columns
     for r in secret_scan.redact(docs).collect():
         before, after = SECRETS[r["doc_id"]], r["text"]
         if not plain_base(before) and "user" not in (before or ""):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +31,9 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    """Join condition on equal columns where null equals null."""
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
+def whole_rows(df: DataFrame) -> DataFrame:
+    """All columns in one struct ``row_``, so that names an operator adds cannot clash with any of them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row_"))
 
 
 def text_key(column: Column | str) -> Column:
@@ -75,8 +74,7 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col
 
     One shuffle of the texts; the second step reuses its partitioning and order.
     """
-    columns = docs.columns
-    marked = docs.withColumn("text_key_", text_key(text_col))
+    marked = whole_rows(docs).withColumns({"id_": F.col(f"row_.`{id_col}`"), "key_": text_key(F.col(f"row_.`{text_col}`"))})
     names = kept.select(F.col(id_col).alias("kept_id_"), F.col("text_key").alias("kept_key_"))
-    chosen = marked.join(names, marked[id_col].eqNullSafe(names["kept_id_"]) & (marked["text_key_"] == names["kept_key_"]), "left_semi")
-    return chosen.dropDuplicates([id_col, "text_key_"]).select(*columns)
+    chosen = marked.join(names, F.col("id_").eqNullSafe(F.col("kept_id_")) & (F.col("key_") == F.col("kept_key_")), "left_semi")
+    return chosen.dropDuplicates(["id_", "key_"]).select("row_.*")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.runtime import table
+from tidemill.llm.runtime import table, whole_rows
 
 # Fixed patterns of the base kinds. The lengths are part of the pattern where that matches the same spans.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -48,16 +48,15 @@ def running(values: str, join: str, zero: int) -> str:
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``spans_``: array of (start, rank, end), ordered; rank is a place in KINDS.
+    """``row_`` (all columns of ``docs``) and ``spans_``: array of (start, rank, end), ordered; rank is a place in KINDS.
 
     Narrow, whole texts, no Python. Parts are linked by an interval join inside the row: all parts in order of their
     start, with the running largest end of what lies before and smallest start of what follows for each kind, tell in
     linear time whether a complementary part is within SCOPE code points. A weak secret needs an identifier, an
     identifier needs a secret, an endpoint needs both. Weak parts that overlap a base span are dropped. A null or
-    empty text has no spans; other columns are kept (names of this function's own end in an underscore).
+    empty text has no spans.
     """
-    columns = docs.columns
-    df = docs.withColumn("text_", F.coalesce(F.col(text_col), F.lit("")))
+    df = whole_rows(docs).withColumn("text_", F.coalesce(F.col(f"row_.`{text_col}`"), F.lit("")))
     text = F.col("text_")
     # pattern, and a cheaper test that every text with a match passes
     scans = {
@@ -81,7 +80,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
         f"filter(transform({n}_found_, (m, i) -> named_struct('start', get({n}_ends_, i) - length(m), 'rank', CAST({r} AS INT), 'end', get({n}_ends_, i))), p -> p.rank IS NOT NULL)"
         for n, r in ranks.items()
     )
-    return _linked(df.select(*columns, F.expr(f"array_sort(concat({spans}))").alias("parts_"))).select(*columns, "spans_")
+    return _linked(df.select("row_", F.expr(f"array_sort(concat({spans}))").alias("parts_"))).select("row_", "spans_")
 
 
 def _linked(df: DataFrame) -> DataFrame:
@@ -117,7 +116,7 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     count = lambda rank: F.size(F.filter("spans_", lambda s: s["rank"] == rank)).cast("long")
     base = F.filter("spans_", lambda s: s["rank"] <= 2)
     return found.select(
-        id_col,
+        F.col(f"row_.`{id_col}`").alias(id_col),
         *[count(i).alias(f"n_{k}") for i, k in enumerate(BASE)],
         F.sha2(_written(base), 256).alias("base_sha256"),
         _written(F.col("spans_")).alias("spans"),
@@ -129,9 +128,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Other rows keep their text; a column n_chars, if there is one, follows the new text.
     """
-    columns = docs.columns
     found = find_secrets(docs, text_col)
-    text = F.col(text_col)
+    text = F.col(f"row_.`{text_col}`")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -145,11 +143,12 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def finish(acc: Column) -> Column:
         return F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
 
-    clean = F.when(F.size("spans_") > 0, F.aggregate("spans_", start, step, finish)).otherwise(text)
-    changed = found.withColumn(text_col, clean)
-    if "n_chars" in columns:
-        changed = changed.withColumn("n_chars", F.when(F.size("spans_") > 0, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(*columns)
+    hit = F.size("spans_") > 0
+    changed = found.withColumn("clean_", F.when(hit, F.aggregate("spans_", start, step, finish)).otherwise(text))
+    new = {text_col: F.col("clean_")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(hit, F.length("clean_").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("row_.n_chars"))
+    return changed.select(*[new.get(c, F.col(f"row_.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

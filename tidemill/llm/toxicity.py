@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.runtime import table
+from tidemill.llm.runtime import table, whole_rows
 
 #: Hash buckets of terms, factors of a term, and labelled rows a model is fitted on at most.
 BUCKETS = 1 << 16
@@ -149,8 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     buckets = F.pandas_udf(lambda s: s.map(terms_of, na_action=None), "array<int>")
     key = F.pandas_udf(lambda s: s.map(copy_key, na_action=None), "long")
     rows = (
-        docs.join(F.broadcast(chosen), docs[id_col] == chosen["label_id"])
-        .select(key(F.col(text_col)).alias("key"), "label_id", "toxic", buckets(F.col(text_col)).alias("terms"))
+        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        .join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
+        .select(key("text").alias("key"), "label_id", "toxic", buckets("text").alias("terms"))
         .toPandas()
         .sort_values(["key", "label_id"])
         .drop_duplicates("key")
@@ -182,8 +183,8 @@ def _score(model: FactorizationMachine):
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows whose text is not predicted toxic, all columns as they were."""
     model = train(docs, labels, id_col, text_col)
-    columns = docs.columns
-    return docs.withColumn("score_", _score(model)(F.col(text_col))).filter("score_ < 0.5").select(*columns)
+    scored = whole_rows(docs).withColumn("score_", _score(model)(F.col(f"row_.`{text_col}`")))
+    return scored.filter("score_ < 0.5").select("row_.*")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
