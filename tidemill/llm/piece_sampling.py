@@ -19,6 +19,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ SEED = 42
 #: Lattice nodes kept between groups of texts.
 NODES = 600_000
 #: Characters of texts that are sampled together.
-CHUNK_CHARS = 400_000
+CHUNK_CHARS = 1_000_000
 _MASK = (1 << 64) - 1
 _words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
 
@@ -61,7 +62,15 @@ class PieceModel:
         share = {i: 1 / (r + ZIPF_SHIFT) for r, i in enumerate(plain)}
         scale = sum(share.values())
         self.arc = {self.piece[i]: (i, (w / scale) ** theta) for i, w in share.items()}
-        self.longest = max(map(len, self.arc))
+        self.trie: dict = {}
+        for text, found in self.arc.items():
+            branch = self.trie
+            for char in text:
+                branch = branch.setdefault(char, {})
+            branch[""] = found
+        for text in self.arc:
+            if text[0] not in self.arc:
+                raise ValueError("a piece starts with a character that is none")
         self.least = min(w for _, w in self.arc.values())
         self._clear()
 
@@ -75,47 +84,51 @@ class PieceModel:
     def nodes(self, words: set[str]) -> dict[str, int]:
         if len(self.node) > NODES:
             self._clear()
-        known, add = self.node, self._add
+        known = self.node
         for word in words:
             if word not in known:
-                n = len(word)
-                # the endings that are new, shortest first; once one is missing, all longer ones are
-                short = n
-                while short > 0 and word[short - 1 :] in known:
-                    short -= 1
-                for i in range(short - 1, -1, -1):
-                    add(word[i:])
+                at = [0] * (len(word) + 1)  # node of the rest from each position
+                i = len(word) - 1
+                # the endings that are known are those up to some length
+                while (node := known.get(word[i:])) is not None:
+                    at[i] = node
+                    i -= 1
+                self._add(word, i, at)
         return known
 
-    def _add(self, rest: str) -> None:
-        get, known, log_mass = self.arc.get, self.node, self.log_mass
-        arcs = [(known[rest[j:]], *found) for j in range(1, min(len(rest), self.longest) + 1) if (found := get(rest[:j]))]
-        if not arcs or arcs[0][0] != known[rest[1:]]:
-            spelled = tuple(self.byte_id[b] for b in rest[0].encode())
-            self.bytes[len(self.to)] = spelled
-            arcs.insert(0, (known[rest[1:]], -1, self.least ** len(spelled)))
-        here = len(known)
-        if len(arcs) == 1:
-            to, name, w = arcs[0]
-            log_mass.append(log_mass[to] + math.log(w))
-            self.p.append(1.0)
-            self.upto.append(here + 1.0)
-            self.to.append(to)
-            self.id.append(name)
-        else:
-            top = log_mass[arcs[0][0]]
-            parts = [w * math.exp(min(700.0, log_mass[to] - top)) for to, _, w in arcs]
-            total = sum(parts)
-            log_mass.append(top + math.log(total))
-            upto = 0.0
-            for (to, name, _), x in zip(arcs, parts, strict=True):
-                upto += x / total
-                self.p.append(x / total)
-                self.upto.append(here + upto)
-                self.to.append(to)
-                self.id.append(name)
-        known[rest] = here
-        self.start.append(len(self.to))
+    def _add(self, word: str, last: int, at: list[int]) -> None:
+        known, log_mass, exp, log, n = self.node, self.log_mass, math.exp, math.log, len(word)
+        for i in range(last, -1, -1):
+            branch, j, to, name, weight = self.trie, i, [], [], []
+            while j < n and (branch := branch.get(word[j])):
+                j += 1
+                if found := branch.get(""):
+                    to.append(at[j])
+                    name.append(found[0])
+                    weight.append(found[1])
+                elif j == i + 1:
+                    break
+            if not to:  # no piece for this character: its bytes; longer pieces start with one there is
+                spelled = tuple(self.byte_id[b] for b in word[i].encode())
+                self.bytes[len(self.to)] = spelled
+                to, name, weight = [at[i + 1]], [-1], [self.least ** len(spelled)]
+            here = at[i] = len(log_mass)
+            if len(to) == 1:
+                log_mass.append(log_mass[to[0]] + log(weight[0]))
+                share, upto = [1.0], [here + 1.0]
+            else:
+                top = log_mass[to[0]]
+                parts = [w * exp(min(700.0, log_mass[t] - top)) for w, t in zip(weight, to, strict=True)]
+                total = sum(parts)
+                log_mass.append(top + log(total))
+                share = [x / total for x in parts]
+                upto = [here + x for x in accumulate(share)]
+            self.to.fromlist(to)
+            self.id.fromlist(name)
+            self.p.fromlist(share)
+            self.upto.fromlist(upto)
+            self.start.append(len(self.to))
+            known[word[i:]] = here
 
     def decode(self, ids) -> str:
         """Text of a list of ids, as the library gives it: bytes joined, marks as spaces, no leading space of its own."""
