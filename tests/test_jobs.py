@@ -1,6 +1,8 @@
 """Edge-case and golden fixtures of FIXTURES.md."""
 
+import base64
 import re
+import zlib
 from pathlib import Path
 
 import pytest
@@ -201,3 +203,48 @@ def test_command_line(spark, put):
     assert found == "Alaska\t1996\t0.13\nArizona\t1995\t64.00\n"
     assert jobs.main(["text_metrics", "a", "b", "Z"]) == 2
     assert jobs.main(["nothing"]) == 2
+
+
+def test_verifiers(spark, put):
+    path = put("g.tsv", GOLDEN)
+    assert jobs.payload_verifier(spark, put("8.tsv", golden(lambda c: c[:8]))).count() == 0
+    bad = jobs.payload_verifier(spark, put("b.tsv", golden(lambda c: mutate("c167f36", _5="10")(c)[:8]))).collect()
+    assert [r["sha"][:7] for r in bad] == ["c167f36"]
+    lines, _ = jobs.delta_chains(spark, path, k=2)
+    jobs.write_tsv(lines, put.folder + "/top")
+    assert jobs.top_k_verifier(spark, path, put.folder + "/top", 2).count() == 0
+    wrong = TOP2.replace("topBytes=29", "topBytes=28").splitlines()
+    put("w.txt", "\n".join([*wrong[1:], wrong[1], "unknown\tn=1"]) + "\n")
+    found = {r["root"] for r in jobs.top_k_verifier(spark, path, put.folder + "/w.txt", 2).collect()}
+    assert found == {wrong[0].split("\t")[0], wrong[1].split("\t")[0], CHAIN, "unknown"}
+
+
+def test_pack_verifier(spark, put):
+    pack, rows = b"PACK", []
+    for line in GOLDEN.splitlines():
+        c = line.split("\t")
+        data = base64.b64decode(c[7])
+        kind = {"commit": 1, "tree": 2, "blob": 3, "tag": 4}[c[4]] if c[3] == "-" else 7
+        n, head = len(data) >> 4, kind << 4 | len(data) & 15
+        rows.append([*c[:6], str(len(pack))])
+        pack += (bytes([head | 128, n]) if n else bytes([head])) + (bytes.fromhex(c[3]) if kind == 7 else b"") + zlib.compress(data)
+    Path(put.folder, "a.pack").write_bytes(pack)
+    source = put("7.tsv", "".join("\t".join(r) + "\n" for r in rows))
+    assert jobs.pack_verifier(spark, source, put.folder + "/a.pack").count() == 0
+    rows[5][2] = "0" * 40
+    errors = jobs.pack_verifier(spark, put("x.tsv", "".join("\t".join(r) + "\n" for r in rows)), put.folder + "/a.pack").collect()
+    assert len(errors) == 4 and any("sha mismatch" in r["error"] for r in errors)
+
+
+def test_sample_and_bounds(spark, put):
+    rows = files.read_chain(spark, put("g.tsv", GOLDEN))
+    pick = lambda df: sorted(r["sha"] for r in chains.seeded_sample(df, 4).collect())
+    assert pick(rows) == pick(rows.repartition(3)) and len(pick(rows)) == 4
+    bounds = chains.partition_bounds(rows, 3)
+    assert bounds == sorted(set(bounds)) and len(bounds) == 2
+    assert len(chains.partition_bounds(rows.filter(F.col("root") == CHAIN), 5)) == 1
+    for wrong in (lambda: chains.partition_bounds(rows, 1), lambda: chains.partition_bounds(rows.limit(0), 3), lambda: chains.seeded_sample(rows, 0)):
+        with pytest.raises(ValueError):
+            wrong()
+    assert chains.group_order_violations(chains.total_order(rows, 2)).count() == 0
+    assert chains.group_order_violations(rows.coalesce(1).sortWithinPartitions(F.desc("origin"), "root")).count() > 0

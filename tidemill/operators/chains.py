@@ -38,6 +38,51 @@ def total_order(rows: DataFrame, partitions: int) -> DataFrame:
     return rows.repartitionByRange(partitions, *CHAIN).sortWithinPartitions(*chain_order())
 
 
+def seeded_sample(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows chosen by a seeded hash of their chain and id: the same rows on every run, however they are
+    partitioned. Each task keeps its own ``n`` smallest hashes, so rows are not sorted as a whole."""
+    if n < 1:
+        raise ValueError("a sample needs at least one row")
+    return rows.orderBy(F.xxhash64(*CHAIN, "sha", F.lit(seed)), *CHAIN, "sha").limit(n)
+
+
+def partition_bounds(rows: DataFrame, partitions: int, sample: int = 2000, seed: int = 42) -> list[tuple]:
+    """Boundaries (origin, root) that cut a seeded sample into equal parts, without repeats and at chain starts only.
+
+    For callers that place chains themselves; ``total_order`` lets Spark sample. At most ``sample`` keys reach the
+    driver. Fewer distinct chains than partitions give fewer boundaries; none at all is an error."""
+    if partitions < 2:
+        raise ValueError("boundaries need at least two partitions")
+    keys = sorted(tuple(r) for r in seeded_sample(rows, sample, seed).select(*CHAIN).collect())
+    if not keys:
+        raise ValueError("no rows to sample")
+    found: list[tuple] = []
+    for i in range(1, partitions):
+        bound = next((k for k in keys[round(len(keys) * i / partitions) :] if not found or k > found[-1]), None)
+        if bound is not None:
+            found.append(bound)
+    return found
+
+
+def group_order_violations(ordered: DataFrame) -> DataFrame:
+    """Chains that do not follow the one before them in their partition: for partitions that were ordered elsewhere.
+
+    One streamed pass; a chain may be seen once per partition only, in increasing (origin, root).
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for batch in batches:
+            bad = []
+            for chain in zip(batch["origin"], batch["root"], strict=True):
+                if last is not None and chain < last:
+                    bad.append(chain)
+                last = chain
+            yield pd.DataFrame(bad, columns=CHAIN)
+
+    return ordered.select(*CHAIN).mapInPandas(run, "origin long, root string")
+
+
 def hash_order(rows: DataFrame, partitions: int) -> DataFrame:
     """Rows hash-partitioned by chain, ordered inside each partition."""
     return rows.repartition(partitions, *CHAIN).sortWithinPartitions(*chain_order())
@@ -230,6 +275,27 @@ def top_list(top: Column | str = "top") -> Column:
     return F.coalesce(F.array_join(F.transform(top, one), ","), F.lit("-"))
 
 
+def top_k_mismatches(rows: DataFrame, reports: DataFrame, k: int) -> DataFrame:
+    """Chains whose report line (root, report) is not what sorting all deltas and cutting the list gives: wrong lines,
+    repeated, unknown and missing chains."""
+    good = rows.filter(~F.col("malformed"))
+    deltas = F.sort_array(F.collect_list(F.when(is_delta(), F.struct((-F.col("size")).alias("less"), F.col("position"), F.col("sha"), F.col("size")))))
+    whole = good.groupBy(*CHAIN).agg(F.count(F.lit(1)).alias("n"), deltas.alias("deltas"))
+    total = lambda items: F.aggregate(items, F.lit(0).cast("long"), lambda acc, d: acc + d["size"])
+    kept = F.slice("deltas", 1, k)
+    one = lambda d: F.concat(d["size"].cast("string"), F.lit("@"), d["position"].cast("string"), F.lit(":"), F.left(d["sha"], F.lit(7)))
+    part = lambda name, value: F.concat(F.lit(f"{name}="), value.cast("string"))
+    line = F.concat_ws(
+        " ", part("n", F.col("n")), part("deltas", F.size("deltas")), part("k", F.lit(k)), part("kept", F.size(kept)), part("patchBytes", total("deltas")),
+        part("topBytes", total(kept)), F.concat(F.lit("top="), F.when(F.size("deltas") > 0, F.array_join(F.transform(kept, one), ",")).otherwise("-")), part("origin", F.col("origin")),
+    )
+    wanted = whole.select(F.col("root").alias("want_root"), line.alias("want"))
+    seen = reports.groupBy("root").agg(F.min("report").alias("report"), F.count(F.lit(1)).alias("lines"))
+    both = seen.join(wanted, F.col("root") == F.col("want_root"), "full_outer")
+    wrong = F.col("root").isNull() | F.col("want_root").isNull() | (F.col("lines") > 1) | (F.col("report") != F.col("want"))
+    return both.filter(wrong).select(F.coalesce("root", "want_root").alias("root"), "report", "want", "lines")
+
+
 def top_k_text(found: DataFrame) -> DataFrame:
     names = {"n": "n", "deltas": "deltas", "k": "k", "kept": "kept", "patchBytes": "patch_bytes", "topBytes": "top_bytes"}
     parts = [F.concat(F.lit(f"{a}="), F.col(b).cast("string")) for a, b in names.items()]

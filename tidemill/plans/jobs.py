@@ -119,6 +119,32 @@ def origin_annotator(spark: SparkSession, source: str) -> DataFrame:
     return chains.with_origin(rows).select("root", "position", "sha", "base_sha", "type", "size", "offset", "payload64", "ts", "origin")
 
 
+def payload_verifier(spark: SparkSession, source: str) -> DataFrame:
+    """One row per object of an eight-column file that does not rebuild to its id."""
+    rows = files.read_chain(spark, source)
+    if rows.filter(F.col("malformed") | (F.col("width") != 8)).take(1):
+        raise ValueError("eight columns are needed")
+    return chains.verify_objects(rows).filter(~F.col("ok")).select("root", "sha", "error")
+
+
+def pack_verifier(spark: SparkSession, source: str, pack: str) -> DataFrame:
+    """One row per object of a seven-column file that does not rebuild from the pack, or that the pack stores as another
+    kind (whole or delta) than the file says."""
+    rows = files.read_chain(spark, source)
+    if rows.filter(F.col("malformed") | (F.col("width") != 7)).take(1):
+        raise ValueError("seven columns are needed")
+    stored = packs.read_pack_objects(spark, pack, rows.select("offset").distinct()).select("offset", "obj_type", base64_line("data").alias("stored64"))
+    both = rows.join(stored, "offset").withColumn("payload64", F.col("stored64"))
+    kinds = both.filter((F.col("obj_type") >= 6) != chains.is_delta()).select("root", "sha", F.lit("pack and listing disagree").alias("error"))
+    return chains.verify_objects(both).filter(~F.col("ok")).select("root", "sha", "error").unionByName(kinds)
+
+
+def top_k_verifier(spark: SparkSession, source: str, reports: str, k: int) -> DataFrame:
+    """Chains whose line in the folder ``reports`` differs from a recomputation."""
+    lines = files.read_lines(spark, reports).select(F.substring_index("value", "\t", 1).alias("root"), F.substring_index("value", "\t", -1).alias("report"))
+    return chains.top_k_mismatches(files.read_chain(spark, source), lines, k)
+
+
 SORTED = {"text_metrics": [0], "field_indexer": [0], "group_by_average": [0, 1], "map_side_join": [0, 1], "reduce_side_join": [0, 1]}
 
 
