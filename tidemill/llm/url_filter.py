@@ -43,7 +43,7 @@ def curated(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
 
 
 def url_tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens: the host's labels and their words, path words (digits as #), and parameter names."""
+    """Distinct tokens: the host's labels, the words of hyphenated labels, path words (digits as #), and parameter names."""
     labels = F.split(host, r"\.")
     words = F.regexp_replace(F.translate(path, UPPER, LOWER), "[0-9]+", "#")
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
@@ -51,7 +51,7 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(
         F.concat(
             with_mark("h:", F.reverse(labels)),
-            with_mark("w:", F.flatten(F.transform(labels, lambda x: F.split(x, "-")))),
+            with_mark("w:", F.flatten(F.transform(F.filter(labels, lambda x: F.contains(x, F.lit("-"))), lambda x: F.split(x, "-")))),
             with_mark("p:", F.split(words, r"[/._~+-]+")),
             with_mark("q:", F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1))),
         )
