@@ -123,6 +123,45 @@ def test_near_copies(spark):
     assert set(first.values()) <= set(kept) and len(kept) <= len(first) + 2
 
 
+def plain_similarity(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def pairs_of_texts(rng, count, words):
+    """Pairs of texts that differ in one word: of 49 words, 40 of 50 shingles are shared; of 48, 39 of 49."""
+    for _ in range(count):
+        text = rng.sample(range(10**6), words)
+        yield " ".join(map(str, text)), " ".join(map(str, [*text[:20], "changed", *text[21:]]))
+
+
+def test_near_copies_at_the_threshold(spark):
+    pairs = list(pairs_of_texts(random.Random(3), 150, 49))
+    assert {plain_similarity(*p) for p in pairs} == {0.8}
+    kept = simhash_dedup.drop_near_copies(frame(spark, list(enumerate(t for p in pairs for t in p)))).collect()
+    assert [r["doc_id"] for r in sorted(kept)] == list(range(0, 300, 2))
+
+
+@pytest.mark.parametrize(("shard", "first"), [(7, 1), (4096, 2)])
+def test_near_copies_in_rounds(spark, shard, first):
+    """Every candidate pair of a large group is compared or inside a component, however few a round takes."""
+    rng = random.Random(shard)
+    base = [str(rng.random()) for _ in range(120)]
+    texts = []
+    for _ in range(90):
+        other = list(base)
+        for at in rng.sample(range(0, 120, 6), rng.choice([1, 2, 3])):
+            other[at] = str(rng.random())
+        texts.append(" ".join(other))
+    label = list(range(90))
+    for i in range(90):
+        for j in range(i):
+            if plain_similarity(texts[i], texts[j]) >= 0.8:
+                label = [label[j] if x == label[i] else x for x in label]
+    found = {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_copies(frame(spark, list(enumerate(texts))), shard=shard, first=first).collect()}
+    assert found == {i: label.index(x) for i, x in enumerate(label)} and len(set(label)) > 1
+
+
 @pytest.mark.parametrize("shard", [8, 64, 4096])
 def test_links_against_brute_force(spark, shard):
     rng = random.Random(shard)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.graph import connected_components
-from tidemill.llm.runtime import durable, keep_rows, table, text_key
+from tidemill.llm.runtime import durable, keep_rows, maybe_member, membership_bitmap, table, text_key
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -24,26 +24,34 @@ LEAF = 32
 #: Fingerprints of one block value in one tree; larger buckets are split into several trees.
 SHARD = 4096
 
-# Near copies by word shingles of a Jaccard similarity of 0.8 and more: at 0.8 a bit differs with probability 0.15
-# (the angle between the sets over pi), so a wide fingerprint separates them from texts that merely share words.
+# Near copies: sets of five-word shingles of a Jaccard similarity of NEAR_LEAST and more. Candidates share a band of
+# minimal hashes and lie within NEAR_RADIUS of 256 SimHash bits; every link is then confirmed on the sets themselves.
 NEAR_WORDS = 5
+NEAR_LEAST = 0.8
 NEAR_FIELDS = 4
-#: Bits of 256 in which near copies may differ (39 are expected at a similarity of 0.8, 128 without any).
-NEAR_RADIUS = 46
-#: Pairs of bytes (k, k xor step) that near copies are looked up by: 16 pairs for each step.
-NEAR_STEPS = (1, 2, 3)
+#: A pair of similarity 0.8 shares none of 20 bands of 4 minimal hashes with probability (1 - 0.8**4)**20 = 0.00003.
+NEAR_BANDS = 20
+NEAR_ROWS = 4
+#: At 0.8 a bit differs with probability 0.15 (39 of 256; up to 0.19 or 48 for sets of a few shingles, deviation 6).
+NEAR_RADIUS = 80
+#: Nearest candidates of a text compared in the first round of a cell; each further round of it takes NEAR_GROWTH times as many.
+NEAR_FIRST = 8
+NEAR_GROWTH = 8
+#: Texts whose shingle sets are made at once.
+SET_TEXTS = 128
+_factors = np.random.default_rng(SEED).integers(0, 1 << 63, NEAR_BANDS * NEAR_ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
     """Unsigned 64-bit fingerprint: a bit is set if it is set in over half of the shingles' XXH64 values."""
-    return simhash_fields(text, words, 1)[0]
+    return simhash_fields(shingle_hashes(text, words), 1)[0]
 
 
-def simhash_fields(text: str | None, words: int, fields: int) -> list[int]:
-    """``fields`` unsigned 64-bit fingerprints; the first is ``simhash``, the others are of remixed hashes."""
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 values of a text's shingles with repeats, at most ``CHUNK`` at once; none for a text without words."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return [0] * fields
+        return
     if len(tokens) < words:
         shingles = iter([b" ".join(tokens)])
         n = 1
@@ -51,24 +59,30 @@ def simhash_fields(text: str | None, words: int, fields: int) -> list[int]:
         shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False))
         n = len(tokens) - words + 1
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros((fields, 64), np.int64)
     for start in range(0, n, CHUNK):
         size = min(CHUNK, n - start)
-        h = np.fromiter((digest(next(shingles), SEED) for _ in range(size)), np.uint64, size)
+        yield np.fromiter((digest(next(shingles), SEED) for _ in range(size)), np.uint64, size)
+
+
+def simhash_fields(hashes: Iterable[np.ndarray], fields: int) -> list[int]:
+    """``fields`` unsigned 64-bit fingerprints; the first is ``simhash``, the others are of remixed hashes."""
+    counts = np.zeros((fields, 64), np.int64)
+    n = 0
+    for h in hashes:
+        n += len(h)
         for field in range(fields):
             if field:
                 h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-            counts[field] += np.unpackbits(h.view(np.uint8).reshape(size, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            counts[field] += np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
 
 
-def _simhashes(words: int, fields: int):
-    def run(texts: pd.Series) -> pd.DataFrame:
-        found = np.array([simhash_fields(t, words, fields) for t in texts], np.uint64).reshape(len(texts), fields).view(np.int64)
-        return pd.DataFrame({f"w{i}": found[:, i] for i in range(fields)})
+def _simhashes(words: int):
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([simhash(t, words) for t in texts], np.uint64).view(np.int64))
 
-    return F.pandas_udf(run, ", ".join(f"w{i} long" for i in range(fields)))
+    return F.pandas_udf(run, "long")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -217,13 +231,6 @@ def block_keys(pieces: int) -> list[Column]:
     return [F.shiftrightunsigned("w0", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
 
-def byte_pair_keys(fields: int, steps: tuple[int, ...]) -> list[Column]:
-    """Values of pairs of bytes of a wide fingerprint. Two fingerprints that differ in a share p of their bits agree on
-    one of n pairs with probability 1 - (1 - (1 - p)**16)**n."""
-    byte = lambda k: F.shiftrightunsigned(f"w{k // 8}", 8 * (k % 8)).bitwiseAND(255)
-    return [F.shiftleft(byte(k), 8).bitwiseOR(byte(k ^ step)) for step in steps for k in range(8 * fields) if k < k ^ step]
-
-
 def fingerprint_links(prints: DataFrame, keys: list[Column], radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """Links (a, b) that connect the fingerprints within ``radius`` bits of each other that share one of ``keys``.
 
@@ -254,26 +261,27 @@ def fingerprint_links(prints: DataFrame, keys: list[Column], radius: int = RADIU
     return spread.mapInArrow(_link_cells(radius), "a long, b long")
 
 
-def simhash_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, fields: int = 1, radius: int = RADIUS, keys: list[Column] | None = None
-) -> DataFrame:
-    """One row per row of ``docs``: fingerprint (16 hex digits a field) and smallest id reachable over links.
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """One row per row of ``docs``: fingerprint (16 hex digits) and smallest id reachable over links.
 
     Words are maximal runs without ASCII white space, A-Z lower-cased; shingles are ``words`` words with repeats.
-    Fewer words give one shingle; a null, empty or blank text has fingerprint zero and links like any other. With
-    one field, and without ``keys``, no link within the radius is missed; several fields are looked up by ``keys``.
-    Repeated rows and ids each get their row. component_id is null only if every id of the component is. An empty
-    table gives no rows; other columns are ignored. ``chosen`` marks the rows of one (id, text) of each component.
+    Fewer words give one shingle; a null, empty or blank text has fingerprint zero and links like any other. No link
+    within the radius is missed. Repeated rows and ids each get their row. component_id is null only if every id of
+    the component is. An empty table gives no rows; other columns are ignored. ``chosen`` marks the rows of one
+    (id, text) of each component.
     """
-    names = [f"w{i}" for i in range(fields)]
-    keys = keys or block_keys(radius + 1)
-    base = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("text_key"), _simhashes(words, fields)(F.col(text_col)).alias("fp"))
-    # one field is its own node; more are named by a hash of them
-    node = F.col("fp.w0") if fields == 1 else F.xxhash64(*[f"fp.{n}" for n in names])
-    base = durable(base.select("id", "text_key", node.alias("node"), "fp.*"))
-    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("text_key").alias("text_key")))
-    prints = durable(base.groupBy("node", *names).agg(best.alias("best"), F.count(F.lit(1)).alias("n")))
-    roots = connected_components(fingerprint_links(prints.select("node", *names), keys, radius))
+    base = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("text_key"), _simhashes(words)(F.col(text_col)).alias("w0"))
+    base = durable(base.select("id", "text_key", F.col("w0").alias("node"), "w0"))
+    prints = durable(base.groupBy("node", "w0").agg(_best(), F.count(F.lit(1)).alias("n")))
+    return _named(base, prints, connected_components(fingerprint_links(prints.select("node", "w0"), block_keys(radius + 1), radius)), ["w0"], id_col)
+
+
+def _best() -> Column:
+    """The (id, text) that stands for a group."""
+    return F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("text_key").alias("text_key"))).alias("best")
+
+
+def _named(base: DataFrame, prints: DataFrame, roots: DataFrame, fields: list[str], id_col: str) -> DataFrame:
     linked = prints.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
     linked = linked.withColumn("root", F.coalesce("root", "node"))
     tops = linked.groupBy("root").agg(F.min("best").alias("top"), F.sum("n").alias("n")).filter("n > 1")
@@ -281,16 +289,170 @@ def simhash_components(
     joined = base.join(named, base["node"] == named["named"], "left")
     return joined.select(
         F.col("id").alias(id_col),
-        F.lower(F.concat(*[F.lpad(F.hex(n), 16, "0") for n in names])).alias("fingerprint"),
+        F.lower(F.concat(*[F.lpad(F.hex(n), 16, "0") for n in fields])).alias("fingerprint"),
         F.when(F.col("top").isNull(), F.col("id")).otherwise(F.col("top.id")).alias("component_id"),
         (F.col("top").isNull() | (F.col("id").eqNullSafe(F.col("top.id")) & (F.col("text_key") == F.col("top.text_key")))).alias("chosen"),
         "text_key",
     )
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``simhash_components`` for texts whose sets of five-word shingles have a similarity of 0.8 and more."""
-    return simhash_components(docs, id_col, text_col, NEAR_WORDS, NEAR_FIELDS, NEAR_RADIUS, byte_pair_keys(NEAR_FIELDS, NEAR_STEPS))
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct XXH64 values of a text's five-word shingles; one value for all texts without words."""
+    found = list(shingle_hashes(text, NEAR_WORDS))
+    return np.unique(np.concatenate(found)) if found else np.zeros(1, np.uint64)
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """Hashes of the bands of minimal hashes: two sets agree on a minimal hash with their Jaccard similarity."""
+    least = np.full(len(_factors), np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(shingles), CHUNK >> 3):
+        least = np.minimum(least, (shingles[None, start : start + (CHUNK >> 3)] * _factors[:, None]).min(axis=1))
+    return [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(NEAR_BANDS, NEAR_ROWS))]
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingle sets of (node, text), a few texts at once: a set takes more memory than its text."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SET_TEXTS):
+            part = batch.slice(start, SET_TEXTS)
+            sets = [shingle_set(t).view(np.int64) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+
+def _near_sketches(texts: pd.Series) -> pd.DataFrame:
+    node, prints, bands = [], [], []
+    for text in texts:
+        shingles = shingle_set(text)
+        node.append(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
+        prints.append(simhash_fields([shingles], NEAR_FIELDS))
+        bands.append(band_keys(shingles))
+    signed = lambda x, *shape: np.array(x, np.uint64).reshape(len(texts), *shape).view(np.int64)
+    prints = signed(prints, NEAR_FIELDS)
+    columns = {f"w{i}": prints[:, i] for i in range(NEAR_FIELDS)}
+    return pd.DataFrame({"node": signed(node), **columns, "bands": list(signed(bands, NEAR_BANDS))})
+
+
+def _nearest(nodes: np.ndarray, values: np.ndarray, label: np.ndarray, side: np.ndarray, k: int) -> tuple[list[np.ndarray], bool]:
+    """Pairs of each text of a cell and its ``k`` nearest candidates of other labels, and whether any text has more.
+
+    ``side``: 0 for texts asked about only, 1 for those compared with each other and with these.
+    """
+    held = np.flatnonzero(side == 1)
+    asked = held if len(held) == len(nodes) else np.flatnonzero(side == 0)
+    pairs, more = [], False
+    # both directions: a text of either side has its own nearest ones
+    for left, right in [(asked, held)] if asked is held else [(asked, held), (held, asked)]:
+        step = max(1, (1 << 20) // max(1, len(right)))
+        for start in range(0, len(left), step):
+            part = left[start : start + step]
+            apart = distance(values[part][:, None], values[right][None, :]).astype(np.int32)
+            apart[(apart > NEAR_RADIUS) | (label[part][:, None] == label[right][None, :])] = 1 << 15
+            near = apart < 1 << 15
+            if (near.sum(axis=1) > k).any():
+                more = True
+                # ties in an order of their own for each text, so that no text is the nearest of all
+                order = apart * (1 << 15) + ((nodes[part][:, None] ^ nodes[right][None, :]) & ((1 << 15) - 1)).astype(np.int32)
+                top = np.argpartition(order, k - 1, axis=1)[:, :k]
+                chosen = np.zeros_like(near)
+                np.put_along_axis(chosen, top, True, axis=1)
+                near &= chosen
+            i, j = np.nonzero(near)
+            a, b = nodes[part[i]], nodes[right[j]]
+            pairs.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+    return pairs, more
+
+
+def _near_pairs(k: int):
+    """Candidate pairs (a, b) of the cells; a row without a names a cell (key, i, j) that has more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def rows(flush: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            data = np.concatenate(held, axis=1) if held else np.zeros((0, 0))
+            if not data.size:
+                return
+            start = np.flatnonzero(np.r_[True, (np.diff(data[:3], axis=1) != 0).any(axis=0)])
+            stop = np.r_[start[1:], data.shape[1]]
+            held = [] if flush else [data[:, start[-1] :]]
+            if not flush:
+                start, stop = start[:-1], stop[:-1]
+            values = np.ascontiguousarray(data[6:].T).view(np.uint64)
+            found, unfinished = [np.zeros((2, 0), np.int64)], []
+            for s, e in zip(start.tolist(), stop.tolist(), strict=True):
+                pairs, more = _nearest(data[3, s:e], values[s:e], data[5, s:e], data[4, s:e], k)
+                found += pairs
+                if more:
+                    unfinished.append(s)
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            cells = data[:3, unfinished]
+            none = lambda n: pa.nulls(n, pa.int64())
+            for a, b, (key, i, j) in ((*map(pa.array, pairs), [none(pairs.shape[1])] * 3), (*[none(len(unfinished))] * 2, map(pa.array, cells))):
+                yield pa.RecordBatch.from_arrays([a, b, key, i, j], ["a", "b", "key", "i", "j"])
+
+        for batch in batches:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
+            if held[-1].shape[1] and (held[-1][:3, -1] != held[0][:3, 0]).any():
+                yield from rows(False)
+        yield from rows(True)
+
+    return run
+
+
+def _near_cells(prints: DataFrame, shard: int) -> DataFrame:
+    """Cells (key, i, j) of texts that share a band; a key of over ``shard`` texts is cut into parts, and each two parts meet in a cell."""
+    keyed = prints.select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").count().filter("count > 1")
+    placed = keyed.join(shared, "key").withColumn("parts", F.ceil(F.col("count") / shard).cast("int"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
+    return placed.select("key", "node", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
+        "key", F.least("part", "other").cast("long").alias("i"), F.greatest("part", "other").cast("long").alias("j"), "node", (F.col("part") <= F.col("other")).cast("long").alias("side")
+    )
+
+
+def _confirmed(pairs: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The pairs whose shingle sets, made anew from the texts, have a similarity of NEAR_LEAST and more."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(prints.select("node", F.col("best.text_key").alias("text_key")), "node")
+    wanted = durable(wanted)
+    texts = docs.select(text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    texts = maybe_member(texts, membership_bitmap(wanted, "text_key"), "text_key").join(wanted, "text_key").dropDuplicates(["node"])
+    sets = durable(texts.select("node", "text").mapInArrow(_shingle_sets, "node long, shingles array<long>"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return both.filter(shared / (F.size("of_a") + F.size("of_b") - shared) >= NEAR_LEAST).select("a", "b")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD, first: int = NEAR_FIRST) -> DataFrame:
+    """Components of texts whose sets of five-word shingles have a similarity of 0.8 and more, in rows as of ``simhash_components``.
+
+    Texts with equal sets are one node. Each text is first compared with its ``first`` nearest candidates of a cell.
+    Cells where a text had more are asked again for more of them, now only across the components found so far, until
+    every candidate pair is either compared or inside a component.
+    """
+    fields = [f"w{i}" for i in range(NEAR_FIELDS)]
+    sketches = F.pandas_udf(_near_sketches, "node long, " + ", ".join(f"{w} long" for w in fields) + ", bands array<long>")
+    base = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("text_key"), sketches(F.col(text_col)).alias("fp"))
+    base = durable(base.select("id", "text_key", "fp.*"))
+    prints = durable(base.groupBy("node").agg(_best(), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in [*fields, "bands"]]))
+    cells = durable(_near_cells(prints, shard))
+    links, roots, k = None, None, first
+    while True:
+        members = cells.join(prints.select("node", *fields), "node")
+        label = F.col("node")
+        if roots is not None:
+            members, label = members.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left"), F.coalesce("root", "node")
+        members = members.select("key", "i", "j", "node", "side", label.alias("label"), *fields)
+        spread = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+        found = durable(spread.mapInArrow(_near_pairs(k), "a long, b long, key long, i long, j long"))
+        fresh = _confirmed(found.filter("a is not null").select("a", "b").distinct(), prints, docs, text_col)
+        links = durable(fresh if links is None else links.unionByName(fresh))
+        roots = connected_components(links)
+        unfinished = found.filter("a is null").select("key", "i", "j")
+        if unfinished.isEmpty():
+            return _named(base, prints, roots, fields, id_col)
+        cells = durable(cells.join(unfinished, ["key", "i", "j"], "left_semi"))
+        k *= NEAR_GROWTH
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
