@@ -142,6 +142,15 @@ def test_near_copies_at_the_threshold(spark):
     assert [r["doc_id"] for r in sorted(kept)] == list(range(0, 300, 2))
 
 
+def test_texts_below_the_threshold_stay(spark):
+    """Links are confirmed on the sets: nothing below 0.8 goes, and no chain is made of such links."""
+    texts = [t for p in pairs_of_texts(random.Random(4), 60, 48) for t in p]
+    assert {plain_similarity(*p) for p in zip(texts[::2], texts[1::2], strict=True)} == {39 / 49}
+    chain = [str(i) for i in range(300)]
+    texts += [" ".join(chain[at : at + 200]) for at in range(0, 100, 30)]  # each shares 166 of 226 shingles with the next
+    assert simhash_dedup.drop_near_copies(frame(spark, list(enumerate(texts)))).count() == len(texts)
+
+
 @pytest.mark.parametrize(("shard", "first"), [(7, 1), (4096, 2)])
 def test_near_copies_in_rounds(spark, shard, first):
     """Every candidate pair of a large group is compared or inside a component, however few a round takes."""
