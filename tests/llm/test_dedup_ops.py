@@ -151,6 +151,16 @@ def test_texts_below_the_threshold_stay(spark):
     assert simhash_dedup.drop_near_copies(frame(spark, list(enumerate(texts)))).count() == len(texts)
 
 
+def test_repeated_lines_count_once(spark):
+    rng = random.Random(11)
+    line = [str(rng.random()) for _ in range(20)]
+    texts = [" ".join([*(str(rng.random()) for _ in range(300)), *line * 30]) for _ in range(12)]
+    assert plain_similarity(*texts[:2]) < 0.05
+    prints = [np.array(simhash_dedup.simhash_fields([simhash_dedup.shingle_set(t)], simhash_dedup.NEAR_FIELDS), np.uint64) for t in texts]
+    assert all(simhash_dedup.distance(a, b) > simhash_dedup.NEAR_RADIUS for i, a in enumerate(prints) for b in prints[:i])
+    assert simhash_dedup.drop_near_copies(frame(spark, list(enumerate(texts)))).count() == len(texts)
+
+
 @pytest.mark.parametrize(("shard", "first"), [(7, 1), (4096, 2)])
 def test_near_copies_in_rounds(spark, shard, first):
     """Every candidate pair of a large group is compared or inside a component, however few a round takes."""
