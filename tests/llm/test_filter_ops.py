@@ -5,6 +5,7 @@ import random
 import re
 from zlib import crc32
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,23 @@ def test_toxicity(spark):
     assert toxicity.toxicity_scores(docs.limit(0), none).count() == 0
 
 
+def test_pair_of_words_that_tell_nothing_alone():
+    """Two words each in 600 texts toxic at the base rate, and together in 30 more, all toxic."""
+    rng = random.Random(2)
+    texts = []
+    for i in range(12_000):
+        words, bad = {f"w{rng.randrange(4000)}" for _ in range(20)}, i % 10 == 0
+        if i < 30:
+            words, bad = words | {"left", "right"}, True
+        elif i < 1230:
+            words.add("left" if i < 630 else "right")
+        texts.append((" ".join(sorted(words)).replace("0", "a").translate(str.maketrans("123456789", "bcdefghij")), bad))
+    rows = [np.array(toxicity.terms_of(t)) for t, _ in texts]
+    model = toxicity.fit(rows, np.array([bad for _, bad in texts], float))
+    assert model.score("left right other") > 0.9
+    assert max(model.score(t) for t in ("left", "right", "other", "left other")) < 0.3
+
+
 def plain_base(text):
     text, spans = text or "", []
     for rank, (pattern, least, group) in enumerate([(secret_scan.ASSIGN, 12, 2), (r"AKIA[A-Z0-9]+", 18, 0), (r"[0-9a-f]+", 16, 0)]):

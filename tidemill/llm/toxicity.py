@@ -18,9 +18,11 @@ from tidemill.llm.runtime import table, whole_rows
 BUCKETS = 1 << 16
 FACTORS = 4
 SAMPLE_ROWS = 12_000
-#: Terms in fewer sampled texts, or with a lower chi-square against the label, are not used.
+#: Terms in fewer sampled texts are not used, nor are those with lower chi-squares: alone against the label, and in
+#: every pair against what a model of the terms that tell alone leaves unexplained (there are many more pairs).
 LEAST_TEXTS = 3
 LEAST_CHI2 = 20.0
+LEAST_PAIR_CHI2 = 60.0
 COPY_WORDS = 5
 FOLDS = 5
 CACHE_TERMS = 1 << 19
@@ -50,9 +52,12 @@ class FactorizationMachine:
                 if len(known) >= CACHE_TERMS:
                     known.clear()
                 at = known[term] = int(self.slot[crc32(term.encode()) % BUCKETS])
-            if at >= 0:
-                places.add(at)
-        at = np.array(sorted(places), np.int64)
+            places.add(at)
+        return self.probability(np.array(sorted(places), np.int64))
+
+    def probability(self, at: np.ndarray) -> float:
+        """Score of a text with these places; -1 stands for terms that are not used."""
+        at = at[at >= 0]
         v = self.factor[at].astype(np.float64)
         z = self.bias + self.weight[at].sum(dtype=np.float64) + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum())
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
@@ -82,11 +87,60 @@ def telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.flatnonzero((texts >= LEAST_TEXTS) & ((hits - expected) ** 2 / spread >= LEAST_CHI2))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 60, batch: int = 128, rate: float = 0.03, decay: float = 0.001, seed: int = 7) -> FactorizationMachine:
+def telling_pairs(rows: list[np.ndarray], y: np.ndarray, predicted: np.ndarray) -> np.ndarray:
+    """Buckets of the pairs whose presence in a text goes with the error of the prediction, by a score test of all pairs."""
+    sizes = np.array([len(r) for r in rows], np.int64)
+    error, spread = y - predicted, predicted * (1 - predicted)
+    at = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+    texts = np.bincount(at, minlength=BUCKETS)
+    # the chi-square of any set of a bucket's texts is at most the sum of those of the single texts (Cauchy-Schwarz)
+    most = np.bincount(at, np.repeat(error**2 / spread, sizes), BUCKETS)
+    common = np.flatnonzero((texts >= LEAST_TEXTS) & (most >= LEAST_PAIR_CHI2))
+    place = np.full(BUCKETS, -1, np.int64)
+    place[common] = np.arange(len(common))
+    at = place[at]
+    owner = np.repeat(np.arange(len(rows)), sizes)[at >= 0]
+    at = at[at >= 0]
+    first = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(rows)))]
+    by_bucket = np.argsort(at, kind="stable")
+    holders = owner[by_bucket]
+    edge = np.r_[0, np.cumsum(np.bincount(at, minlength=len(common)))]
+    use = np.zeros(len(common), bool)
+    for a in range(len(common)):
+        # a's texts in parts, so that memory is bounded
+        told, expected = np.zeros(len(common)), np.zeros(len(common))
+        held = holders[edge[a] : edge[a + 1]]
+        for start in range(0, len(held), 1024):
+            part = held[start : start + 1024]
+            lengths = first[part + 1] - first[part]
+            inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(first[part], lengths)
+            told += np.bincount(at[inside], np.repeat(error[part], lengths), len(common))
+            expected += np.bincount(at[inside], np.repeat(spread[part], lengths), len(common))
+        found = told**2 >= LEAST_PAIR_CHI2 * np.maximum(expected, 1e-9)
+        found[a] = False
+        found &= told != 0
+        if found.any():
+            use[a] = True
+            use |= found
+    return common[use]
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, **steps) -> FactorizationMachine:
+    """A model of the buckets that tell alone, then one of these and of the buckets that tell in pairs beyond it."""
+    y = np.asarray(labels, np.float64)
+    alone = telling(rows, y)
+    model = fit_buckets(rows, y, alone, **steps)
+    # held near the base rate, so that a text that happens to be sure does not outweigh the others
+    predicted = np.clip(np.array([model.probability(model.slot[r]) for r in rows]), 0.02, 0.98)
+    both = np.union1d(alone, telling_pairs(rows, y, predicted))
+    return model if len(both) == len(alone) else fit_buckets(rows, y, both, **steps)
+
+
+def fit_buckets(
+    rows: list[np.ndarray], y: np.ndarray, use: np.ndarray, epochs: int = 60, batch: int = 128, rate: float = 0.03, decay: float = 0.001, seed: int = 7
+) -> FactorizationMachine:
     """Adam on the log loss in mini-batches with decoupled weight decay; the same rows give the same model."""
     rng = np.random.default_rng(seed)
-    y = np.asarray(labels, np.float64)
-    use = telling(rows, y)
     slot = np.full(BUCKETS, -1, np.int64)
     slot[use] = np.arange(len(use))
     rows = [x[x >= 0] for x in (slot[r] for r in rows)]
