@@ -16,10 +16,8 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +31,6 @@ ZIPF_SHIFT = 2.7
 SAMPLES = 2
 THETA = 0.2
 SEED = 42
-#: Lattice nodes kept between groups of texts.
-NODES = 600_000
 #: Characters of texts that are sampled together.
 CHUNK_CHARS = 1_000_000
 _MASK = (1 << 64) - 1
@@ -42,102 +38,62 @@ _words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
 
 
 class PieceModel:
-    """A vocabulary and the lattice nodes of the words seen so far.
-
-    A node stands for what is left of a word: its arcs and their probabilities depend on that rest alone, so words share
-    the nodes of their endings. Node 0 is the end of every word. Nodes are dropped when there are ``NODES`` of them.
-    """
+    """A vocabulary: its pieces as a trie in sorted arrays, their weights, and their bytes for decoding."""
 
     def __init__(self, path: str, theta: float = 1.0):
         from sentencepiece import SentencePieceProcessor
 
         self.library = SentencePieceProcessor(model_file=path)
         n = self.library.get_piece_size()
-        self.piece: list[str] = [self.library.id_to_piece(i) for i in range(n)]
-        self.byte_id = {int(self.piece[i][3:5], 16): i for i in range(n) if self.library.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.byte_id.items()}
+        piece: list[str] = [self.library.id_to_piece(i) for i in range(n)]
+        self.byte_id = {int(piece[i][3:5], 16): i for i in range(n) if self.library.is_byte(i)}
+        byte_of = {i: b for b, i in self.byte_id.items()}
         plain = [i for i in range(n) if not (self.library.is_byte(i) or self.library.is_control(i) or self.library.is_unknown(i))]
-        if any(MARK in self.piece[i].lstrip(MARK) for i in plain):
+        if any(MARK in piece[i].lstrip(MARK) for i in plain):
             raise ValueError("a piece goes on past a word mark: the lattice is no chain of words")
         share = {i: 1 / (r + ZIPF_SHIFT) for r, i in enumerate(plain)}
         scale = sum(share.values())
-        self.arc = {self.piece[i]: (i, (w / scale) ** theta) for i, w in share.items()}
-        self.trie: dict = {}
-        for text, found in self.arc.items():
-            branch = self.trie
-            for char in text:
-                branch = branch.setdefault(char, {})
-            branch[""] = found
-        for text in self.arc:
-            if text[0] not in self.arc:
-                raise ValueError("a piece starts with a character that is none")
+        self.arc = {piece[i]: (i, (w / scale) ** theta) for i, w in share.items()}
         self.least = min(w for _, w in self.arc.values())
-        self._clear()
-
-    def _clear(self) -> None:
-        self.node = {"": 0}
-        self.log_mass = [0.0]  # of the ways from each node to the end
-        self.start = array("q", [0, 0])  # arcs of node i are start[i]:start[i + 1]
-        self.to, self.p, self.upto, self.id = array("q"), array("d"), array("d"), array("q")
-        self.bytes: dict[int, tuple[int, ...]] = {}  # ids of arcs that spell a character in bytes
-
-    def nodes(self, words: set[str]) -> dict[str, int]:
-        if len(self.node) > NODES:
-            self._clear()
-        known = self.node
-        for word in words:
-            if word not in known:
-                at = [0] * (len(word) + 1)  # node of the rest from each position
-                i = len(word) - 1
-                # the endings that are known are those up to some length
-                while (node := known.get(word[i:])) is not None:
-                    at[i] = node
-                    i -= 1
-                self._add(word, i, at)
-        return known
-
-    def _add(self, word: str, last: int, at: list[int]) -> None:
-        known, log_mass, exp, log, n = self.node, self.log_mass, math.exp, math.log, len(word)
-        for i in range(last, -1, -1):
-            branch, j, to, name, weight = self.trie, i, [], [], []
-            while j < n and (branch := branch.get(word[j])):
-                j += 1
-                if found := branch.get(""):
-                    to.append(at[j])
-                    name.append(found[0])
-                    weight.append(found[1])
-                elif j == i + 1:
-                    break
-            if not to:  # no piece for this character: its bytes; longer pieces start with one there is
-                spelled = tuple(self.byte_id[b] for b in word[i].encode())
-                self.bytes[len(self.to)] = spelled
-                to, name, weight = [at[i + 1]], [-1], [self.least ** len(spelled)]
-            here = at[i] = len(log_mass)
-            if len(to) == 1:
-                log_mass.append(log_mass[to[0]] + log(weight[0]))
-                share, upto = [1.0], [here + 1.0]
-            else:
-                top = log_mass[to[0]]
-                parts = [w * exp(min(700.0, log_mass[t] - top)) for w, t in zip(weight, to, strict=True)]
-                total = sum(parts)
-                log_mass.append(top + log(total))
-                share = [x / total for x in parts]
-                upto = [here + x for x in accumulate(share)]
-            self.to.fromlist(to)
-            self.id.fromlist(name)
-            self.p.fromlist(share)
-            self.upto.fromlist(upto)
-            self.start.append(len(self.to))
-            known[word[i:]] = here
+        if any(text[0] not in self.arc for text in self.arc):
+            raise ValueError("a piece starts with a character that is none")
+        said = [bytes((byte_of[i],)) if i in byte_of else piece[i].replace(MARK, " ").encode() for i in range(n)]
+        self.said = np.frombuffer(b"".join(said), np.uint8)
+        self.said_size = np.fromiter(map(len, said), np.int64, n)
+        self.said_at = np.cumsum(self.said_size) - self.said_size
+        # a state is a prefix of a piece; 0 is the empty one
+        state = {"": 0}
+        for text in self.arc:
+            for end in range(1, len(text) + 1):
+                state.setdefault(text[:end], len(state))
+        letters = sorted({char for text in self.arc for char in text})
+        #: number of each code point, from 1; 0 for those in no piece
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.letters = len(letters) + 1
+        edges = sorted((state[text[:-1]] * self.letters + int(self.letter[ord(text[-1])]), at) for text, at in state.items() if text)
+        #: (state, letter) -> next state, as sorted keys
+        self.edge, self.next = (np.array(x, np.int64) for x in zip(*edges, strict=True))
+        self.first = np.full(self.letters, -1, np.int64)
+        from_root = self.edge < self.letters
+        self.first[self.edge[from_root]] = self.next[from_root]
+        found = [self.arc.get(text, (-1, 0.0)) for text in state]
+        self.id = np.array([i for i, _ in found], np.int64)
+        self.weight = np.array([w for _, w in found])
+        self.byte_ids = np.array([self.byte_id.get(b, -1) for b in range(256)], np.int64)
+
+    def decoded(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """Bytes of consecutive lists of ids of these sizes: marks as spaces, no leading space of its own."""
+        size = self.said_size[ids]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.said_at[ids] - (ends - size), size)
+        said = self.said[at].tobytes()
+        cut = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]].tolist()
+        return [said[a:b].removeprefix(b" ") for a, b in zip(cut, cut[1:], strict=False)]
 
     def decode(self, ids) -> str:
-        """Text of a list of ids, as the library gives it: bytes joined, marks as spaces, no leading space of its own."""
-        byte_of, piece = self.byte_of, self.piece
-        if byte_of.keys().isdisjoint(ids):
-            text = "".join(map(piece.__getitem__, ids))
-        else:
-            text = b"".join([bytes((byte_of[i],)) if i in byte_of else piece[i].encode() for i in ids]).decode("utf-8", "replace")
-        return text.replace(MARK, " ").removeprefix(" ")
+        """Text of a list of ids, as the library gives it."""
+        return self.decoded(np.asarray(ids, np.int64), np.array([len(ids)]))[0].decode("utf-8", "replace")
 
     def encode(self, text: str) -> list[int]:
         """The vocabulary's own (best merge) segmentation."""
@@ -149,6 +105,82 @@ def _model(path: str, theta: float) -> PieceModel:
     return PieceModel(path, theta)
 
 
+class Lattice:
+    """The lattices of a set of words, built and summed for all words at once.
+
+    A node is a place in a word; node 0 is the end of every word. Nodes are numbered by the distance to their word's end
+    and, inside a distance, by falling length of the word: so a place's successor is found without a search, and one step
+    of the backward pass takes all nodes of a distance. Arcs of node i are start[i]:start[i + 1]; ``p`` is an arc's
+    probability given its node; an id below 0 stands for the bytes of the code point -1 - id.
+    """
+
+    def __init__(self, model: PieceModel, words: list[str]):
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-size, kind="stable")
+        rising = size[order][::-1]
+        depth = int(rising[-1]) if len(words) else 0
+        #: words of at least each length, from 1, and the first node of each distance
+        width = len(words) - np.searchsorted(rising, np.arange(1, depth + 1))
+        base = np.r_[0, 1, 1 + np.cumsum(width)].astype(np.int64)
+        nodes = int(base[-1]) if depth else 1
+        down = np.r_[0, 0, width[:-1]].astype(np.int64) if depth else np.zeros(1, np.int64)
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        #: node of each word's start
+        self.node = base[size] + rank
+        codes = np.frombuffer("".join([words[i] for i in order.tolist()]).encode("utf-32-le"), np.uint32)
+        sizes = size[order]
+        inside = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        place = base[np.repeat(sizes, sizes) - inside] + np.repeat(np.arange(len(words)), sizes)
+        point = np.zeros(nodes, np.int64)
+        point[place] = codes
+        letter = model.letter[point].astype(np.int64)
+        # walk the trie from all nodes at once, a character at a time
+        begin = np.arange(1, nodes)
+        at, left = begin, np.repeat(np.arange(1, depth + 1), width)
+        state = model.first[letter[1:]]
+        unknown = begin[state < 0]
+        spelled = point[unknown]
+        cost = np.array([1, 2, 3, 4])[np.searchsorted([0x80, 0x800, 0x10000], spelled, side="right")]
+        found = [(unknown, np.where(left[unknown - 1] == 1, 0, unknown - down[left[unknown - 1]]), -1 - spelled, model.least ** cost.astype(np.float64))]
+        live = state >= 0
+        begin, at, left, state = begin[live], at[live], left[live], state[live]
+        while len(begin):
+            after = np.where(left == 1, 0, at - down[left])
+            whole = np.flatnonzero(model.id[state] >= 0)
+            found.append((begin[whole], after[whole], model.id[state[whole]], model.weight[state[whole]]))
+            on = np.flatnonzero(left > 1)
+            begin, at, left = begin[on], after[on], left[on] - 1
+            key = state[on] * model.letters + letter[at]
+            edge = np.minimum(np.searchsorted(model.edge, key), len(model.edge) - 1)
+            live = np.flatnonzero(model.edge[edge] == key)
+            begin, at, left, state = begin[live], at[live], left[live], model.next[edge[live]]
+        count = np.zeros(nodes, np.int64)
+        for source, *_ in found:
+            count[source] += 1
+        self.start = np.r_[0, np.cumsum(count)]
+        arcs = int(self.start[-1])
+        self.to, self.id, weight = np.empty(arcs, np.int64), np.empty(arcs, np.int64), np.empty(arcs)
+        free = self.start[:-1].copy()
+        for source, to, name, w in found:
+            slot = free[source]
+            free[source] += 1
+            self.to[slot], self.id[slot], weight[slot] = to, name, w
+        # backward: log of the mass of the ways from each node to the end
+        mass = np.zeros(nodes)
+        self.p = np.empty(arcs)
+        for d in range(1, depth + 1):
+            lo, hi = base[d], base[d + 1]
+            a, b = self.start[lo], self.start[hi]
+            edge, n = self.start[lo:hi] - a, count[lo:hi]
+            ways = mass[self.to[a:b]]
+            top = ways[edge]
+            part = weight[a:b] * np.exp(np.minimum(ways - np.repeat(top, n), 700.0))
+            total = np.add.reduceat(part, edge)
+            mass[lo:hi] = top + np.log(total)
+            self.p[a:b] = part / np.repeat(total, n)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """Uniform numbers in (0, 1) from 64-bit counters (the finaliser of SplitMix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -175,10 +207,12 @@ class Draws:
 
     def __init__(self, model: PieceModel, texts: list[list[str]], keys: list[int], count: int):
         self.model = model
-        node = model.nodes({w for t in texts for w in t})
+        number: dict[str, int] = {}
         lengths = [len(t) for t in texts]
-        self.first = np.fromiter((node[w] for t in texts for w in t), np.int64, sum(lengths))
-        self.start, self.to, self.p, self.upto, self.id = (np.array(x) for x in (model.start, model.to, model.p, model.upto, model.id))
+        word = np.fromiter((number.setdefault(w, len(number)) for t in texts for w in t), np.int64, sum(lengths))
+        lattice = Lattice(model, list(number))
+        self.first = lattice.node[word]
+        self.start, self.to, self.p, self.id = lattice.start, lattice.to, lattice.p, lattice.id
         self.text0 = np.r_[0, np.cumsum(lengths)].astype(np.int64)
         at = np.arange(len(self.first)) - np.repeat(self.text0[:-1], lengths)
         key = np.repeat(np.array(keys, np.uint64), lengths)
@@ -192,11 +226,15 @@ class Draws:
         steps = []
         while len(live):
             counter = counter + np.uint64(0x165667B19E3779F9)
-            lo, hi = self.start[node], self.start[node + 1] - 1
-            arc = lo.copy()
-            fork = np.flatnonzero(lo != hi)
-            arc[fork] = np.searchsorted(self.upto, node[fork] + _mix(counter[fork]))
-            arc = np.clip(arc, lo, hi)  # rounding may point past a node's arcs
+            arc, last = self.start[node], self.start[node + 1] - 1
+            fork = np.flatnonzero(arc != last)
+            choice, last, u = arc[fork], last[fork], _mix(counter[fork])
+            todo = np.arange(len(fork))
+            while len(todo):  # pass the arcs whose share lies before the number; rounding may not pass the last
+                u[todo] -= self.p[choice[todo]]
+                todo = todo[(u[todo] > 0) & (choice[todo] < last[todo])]
+                choice[todo] += 1
+            arc[fork] = choice
             steps.append((live, arc))
             taken[live] += 1
             node = self.to[arc]
@@ -216,10 +254,16 @@ class Draws:
 
     def ids_of(self, arcs: np.ndarray) -> np.ndarray:
         ids = self.id[arcs]
-        if (ids >= 0).all():
+        odd = np.flatnonzero(ids < 0)
+        if not len(odd):
             return ids.astype(np.int32)
-        spelled = self.model.bytes
-        return np.array([x for a, i in zip(arcs.tolist(), ids.tolist(), strict=True) for x in (spelled[a] if i < 0 else (i,))], np.int32)
+        # characters in no piece are spelled in the bytes of their code points
+        spelled = [chr(-1 - i).encode() for i in ids[odd].tolist()]
+        size = np.ones(len(ids), np.int64)
+        size[odd] = [len(b) for b in spelled]
+        out = np.repeat(ids, size)
+        out[np.repeat(ids < 0, size)] = self.model.byte_ids[np.frombuffer(b"".join(spelled), np.uint8)]
+        return out.astype(np.int32)
 
 
 class Sampled:
@@ -342,14 +386,13 @@ def piece_samples(docs: DataFrame, vocabulary: str, k: int = SAMPLES, theta: flo
         model = _model(vocabulary, theta)
         for batch in batches:
             for rows in _groups(batch):
-                out: list[list] = [[] for _ in names]
-                found = _samples(model, [r[2] for r in rows], [r[1] & _MASK for r in rows], k)
-                for (doc, _, text), samples in zip(rows, found, strict=True):
-                    said = (text or "").replace(MARK, " ")
-                    for s, (ids, log_p, g, inclusion) in enumerate(samples):
-                        for cell, x in zip(out, (doc, s, len(ids), ids, log_p, g, inclusion, model.decode(ids.tolist()) == said), strict=True):
-                            cell.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
+                found = [(doc, s, text, *sample) for (doc, _, text), samples in zip(rows, _samples(model, [r[2] for r in rows], [r[1] & _MASK for r in rows], k), strict=True) for s, sample in enumerate(samples)]
+                sizes = np.array([len(r[3]) for r in found], np.int64)
+                ids = np.concatenate([r[3] for r in found])
+                same = [got == (text or "").replace(MARK, " ").encode() for got, (_, _, text, *_) in zip(model.decoded(ids, sizes), found, strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(ids))
+                cells = [[r[0] for r in found], [r[1] for r in found], sizes, lists, *([r[i] for r in found] for i in (4, 5, 6)), same]
+                yield pa.RecordBatch.from_arrays([c if c is lists else pa.array(c, t) for c, t in zip(cells, schema.types, strict=True)], schema=schema)
 
     keyed = docs.select(F.col(id_col).cast("long").alias(id_col), F.xxhash64(F.col(id_col), F.lit(seed)).alias("key"), F.col(text_col))
     return keyed.mapInArrow(run, f"{id_col} long, sample int, n_pieces int, ids array<int>, log_prob double, gumbel double, inclusion double, round_trip boolean")
