@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.runtime import durable, keep_rows, maybe_member, membership_bitmap, table, text_key
+from tidemill.llm.runtime import durable, keep_rows, maybe_member, table, text_key
 
 WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -21,16 +21,18 @@ def content_hash(norm: Column) -> Column:
     return F.unhex(F.md5(norm))
 
 
-def collided_hashes(docs: DataFrame, shared: DataFrame, text_col: str, hashed: Callable[[Column], Column]) -> DataFrame:
+def collided_hashes(docs: DataFrame, base: DataFrame, text_col: str, hashed: Callable[[Column], Column]) -> DataFrame:
     """Hashes whose group holds different bytes.
 
-    Only rows of hashes that occur more than once are compared: a bitmap of fixed size (broadcast) preselects
-    them, so single texts never move. The smallest and largest text of a group are equal only if all are; both
+    Only rows of hashes that occur more than once are compared. A bitmap of their texts' keys preselects them, so single
+    texts are neither normalised again nor moved. The smallest and largest text of a group are equal only if all are; both
     are partial aggregates, so a hot group reaches the shuffle as one row for each task.
     """
-    texts = docs.select(normalised(F.col(text_col)).alias("norm")).withColumn("digest", hashed(F.col("norm")))
-    candidates = maybe_member(texts, membership_bitmap(shared, "digest"), "digest")
-    compared = candidates.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    shared = base.groupBy("digest").count().filter("count > 1").select("digest")
+    keys = durable(base.join(shared, "digest", "left_semi").select("text_key").distinct())
+    texts = docs.select(text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    candidates = maybe_member(texts, keys, "text_key").filter("maybe_").select(normalised(F.col("text")).alias("norm"))
+    compared = candidates.withColumn("digest", hashed(F.col("norm"))).groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
     return compared.filter(F.col("low") != F.col("high")).select("digest")
 
 
@@ -60,8 +62,7 @@ def exact_dedup(
         .withColumn("row", F.monotonically_increasing_id())
         .drop("norm")
     )
-    shared = base.groupBy("digest").count().filter("count > 1").select("digest")
-    collided = durable(collided_hashes(docs, shared, text_col, hashed))
+    collided = durable(collided_hashes(docs, base, text_col, hashed))
     if collided.isEmpty():
         keyed = base.withColumn("part", F.lit(None).cast("binary"))
     else:  # different bytes under one hash: their SHA-256 tells them apart
@@ -83,8 +84,7 @@ def exact_dedup(
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` does not keep."""
-    verdict = exact_dedup(docs, id_col, text_col)
-    return keep_rows(docs, verdict.filter("kept").select(id_col, "text_key"), id_col, text_col)
+    return keep_rows(docs, exact_dedup(docs, id_col, text_col), "kept", id_col, text_col)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,10 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Width in bits of the bitmap that preselects rows before a text shuffle, and rows of 32,768 bits in it.
-BITMAP_BITS = 22
+#: A bitmap that preselects rows before a text shuffle has BITMAP_SPARSE bits for each key, 2**BITMAP_MOST bits (64 MiB) at most,
+#: and is kept in rows of 2**BITMAP_ROW bits.
+BITMAP_SPARSE = 16
+BITMAP_MOST = 29
 BITMAP_ROW = 15
 
 
@@ -17,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the one the cluster names, else one of this machine (tests)."""
+    """The folder all executors share: the one the cluster names; on one machine (tests) a temporary one will do."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemill-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -42,39 +46,41 @@ def text_key(column: Column | str) -> Column:
     return F.when(column.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(column))
 
 
-def membership_bitmap(keys: DataFrame, key: str, bits: int = BITMAP_BITS) -> DataFrame:
-    """The keys hashed into a bitmap of 2**bits bits, in rows of 4 KiB.
+def maybe_member(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``maybe_``: true for every row whose ``key`` is among ``keys`` (one distinct column of that name), false for
+    nearly all others.
 
-    Its size has a fixed bound whatever the number of keys (2**22 bits: 512 KiB), so it may be broadcast.
+    The keys are counted first and hashed into a bitmap sized for them, which is broadcast. Where that would be larger than
+    2**BITMAP_MOST bits nothing is broadcast: ``maybe_`` is then true everywhere, and a join must do the whole work.
     """
-    position = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    spots = keys.select(position.alias("spot"))
-    return spots.groupBy(F.shiftright("spot", BITMAP_ROW).alias("bitmap_row")).agg(
-        F.bitmap_construct_agg(F.col("spot").bitwiseAND((1 << BITMAP_ROW) - 1)).alias("bitmap")
-    )
+    count = keys.count()
+    bits = max(BITMAP_ROW, (count * BITMAP_SPARSE).bit_length())
+    if bits > BITMAP_MOST:
+        return df.withColumn("maybe_", F.lit(True))
+    low = F.lit((1 << BITMAP_ROW) - 1)
+    spots = keys.select(F.pmod(F.xxhash64(key), F.lit(1 << bits)).alias("spot"))
+    bitmap = spots.groupBy(F.shiftright("spot", BITMAP_ROW).alias("bitmap_row_")).agg(F.bitmap_construct_agg(F.col("spot").bitwiseAND(low)).alias("bitmap_"))
+    columns = df.columns
+    inside = F.col("spot_").bitwiseAND(low)
+    byte = F.conv(F.hex(F.substring(F.col("bitmap_"), (F.shiftright(inside, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    spotted = df.withColumn("spot_", F.pmod(F.xxhash64(key), F.lit(1 << bits))).withColumn("bitmap_row_", F.shiftright("spot_", BITMAP_ROW))
+    marked = spotted.join(F.broadcast(bitmap), "bitmap_row_", "left")
+    return marked.withColumn("maybe_", F.coalesce(F.getbit(byte, inside.bitwiseAND(7).cast("int")) == 1, F.lit(False))).select(*columns, "maybe_")
 
 
-def maybe_member(df: DataFrame, bitmap: DataFrame, key: str, bits: int = BITMAP_BITS) -> DataFrame:
-    """Rows of ``df`` whose key may be in the bitmap: no row of a member is lost, few others stay."""
-    columns = df.columns
-    spot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    low = F.col("spot_").bitwiseAND((1 << BITMAP_ROW) - 1)
-    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (F.shiftright(low, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return (
-        df.withColumn("spot_", spot)
-        .withColumn("bitmap_row", F.shiftright("spot_", BITMAP_ROW))
-        .join(F.broadcast(bitmap), "bitmap_row")
-        .filter(F.getbit(byte, low.bitwiseAND(7).cast("int")) == 1)
-        .select(*columns)
-    )
-
-
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` named by (id, text_key) in ``kept``; of fully repeated rows one stays.
-
-    One shuffle of the texts; the second step reuses its partitioning and order.
+def keep_rows(docs: DataFrame, verdicts: DataFrame, keep: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose (id, text_key) is marked ``keep`` in ``verdicts`` (at least one row for each row of ``docs``).
+
+    Of rows equal in id and text one stays, whatever their other columns. Texts of rows that stay do not move: a bitmap
+    of the few pairs that go or are repeated picks the rows to look at, and only those are joined with their verdicts.
     """
+    named = verdicts.select(F.xxhash64(id_col, "text_key").alias("pair_"), F.col(id_col).alias("v_id_"), F.col("text_key").alias("v_key_"), F.col(keep).alias("keep_"))
+    touched = durable(named.groupBy("pair_", "v_id_", "v_key_").agg(F.count(F.lit(1)).alias("n"), F.max("keep_").alias("keep_")).filter("n > 1 or not keep_"))
     marked = whole_rows(docs).withColumns({"id_": F.col(f"row_.`{id_col}`"), "key_": text_key(F.col(f"row_.`{text_col}`"))})
-    names = kept.select(F.col(id_col).alias("kept_id_"), F.col("text_key").alias("kept_key_"))
-    chosen = marked.join(names, F.col("id_").eqNullSafe(F.col("kept_id_")) & (F.col("key_") == F.col("kept_key_")), "left_semi")
-    return chosen.dropDuplicates(["id_", "key_"]).select("row_.*")
+    marked = maybe_member(marked.withColumn("pair_", F.xxhash64("id_", "key_")), touched.select("pair_").distinct(), "pair_")
+    same = (F.col("t.pair_") == F.col("m.pair_")) & F.col("m.id_").eqNullSafe(F.col("t.v_id_")) & (F.col("m.key_") == F.col("t.v_key_"))
+    looked_at = marked.filter("maybe_").alias("m").join(touched.alias("t"), same, "left").filter("keep_ is null or keep_")
+    # rows that are not named count as different from all others
+    own = F.when(F.col("keep_").isNull(), F.monotonically_increasing_id())
+    few = looked_at.select("row_", "id_", "key_", own.alias("own_")).dropDuplicates(["id_", "key_", "own_"])
+    return marked.filter("not maybe_").select("row_").unionByName(few.select("row_")).select("row_.*")
