@@ -199,14 +199,43 @@ def test_links_against_brute_force(spark, shard):
     assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
 
 
-def test_tree_follows_only_near_edges():
+@pytest.mark.parametrize("sizes", [[550], [5, 1, 2, 5, 300, 1, 3]])
+def test_trees_link_all_and_follow_only_near_edges(sizes, monkeypatch):
     rng = np.random.default_rng(1)
     values = rng.integers(0, 2**63, 500).astype(np.uint64)
     values = np.unique(np.r_[values, values[:50] ^ np.uint64(5)])
+    rng.shuffle(values)
+    cells = np.repeat(np.arange(len(sizes)) * 3, sizes)
+    values = values[: len(cells)]
+    forest = simhash_dedup.BkForest(values[:, None], cells)
+    assert len(forest.child) == len(values) - len(sizes)  # every value is a node: a cell of two and more branches
+    parent, key = np.divmod(forest.edge, forest.span)
+    assert (np.bitwise_count(values[parent] ^ values[forest.child]) == key).all() and (cells[parent] == cells[forest.child]).all()
+    compared = 0
+    plain = simhash_dedup.distance
+
+    def counted(a, b):
+        nonlocal compared
+        compared += len(a)
+        return plain(a, b)
+
+    monkeypatch.setattr(simhash_dedup, "distance", counted)
     pairs = set()
-    for i, j in simhash_dedup.BkTree(values[:, None]).link(values[:, None], 3):
+    for i, j in forest.link(values[:, None], cells, 3):
         pairs |= set(zip(i.tolist(), j.tolist(), strict=True))
-    assert pairs == {(i, j) for i in range(len(values)) for j in range(len(values)) if int(values[i] ^ values[j]).bit_count() <= 3}
+    assert pairs == {(i, j) for i in range(len(values)) for j in range(len(values)) if cells[i] == cells[j] and int(values[i] ^ values[j]).bit_count() <= 3}
+    assert compared < sum(n * n for n in sizes)
+
+
+def test_near_stage_on_nothing_and_null_ids(spark):
+    assert simhash_dedup.simhash_components(frame(spark, [])).count() == 0
+    assert simhash_dedup.drop_near_copies(frame(spark, [])).count() == 0
+    words = " ".join(str(i) for i in range(100))
+    rows = [(None, words), (4, words + " x"), (None, "alone"), (3, None), (2, " "), (7, "y " * 60_000)]
+    named = {(r["doc_id"], r["component_id"]) for r in simhash_dedup.simhash_components(frame(spark, rows)).collect()}
+    assert {(None, None), (3, 2), (2, 2), (7, 7)} <= named
+    kept = sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in simhash_dedup.drop_near_copies(frame(spark, rows)).collect())
+    assert kept == [(0, 5), (2, 1), (4, len(words) + 2), (7, 120_000)]
 
 
 def test_connected_components(spark):
@@ -226,9 +255,10 @@ def test_bm25(spark):
     rng = random.Random(4)
     words = [f"t{int(rng.paretovariate(0.7))}" for _ in range(6000)]
     texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(220)] + [None, "", "t1 t1 t1", "t1 t1 t1"]
-    docs = frame(spark, list(enumerate(texts)))
+    texts[40] = texts[41] = " ".join(rng.choices(words, k=40_000))
+    docs = frame(spark, [*enumerate(texts), (None, "t1 t2")])
     found = {}
-    for r in bm25_search.bm25_top_k(docs, docs.filter("doc_id % 20 = 0"), 5, shard_rows=70).collect():
+    for r in bm25_search.bm25_top_k(docs, docs.filter("doc_id % 20 = 0"), 5, shard_postings=1500, query_terms=1500).collect():
         found.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"], r["score"]))
     terms = [bm25_search.terms_of(t) for t in texts]
     n, average = len(terms), sum(t.total() for t in terms) / len(terms)
@@ -241,7 +271,7 @@ def test_bm25(spark):
                 if w in t:
                     idf = np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
                     impact = t[w] * 2.2 / (t[w] + 1.2 * (0.25 + 0.75 * t.total() / average))
-                    total += np.rint(c * idf * impact * bm25_search.UNIT)
+                    total += c * np.floor(idf * impact * bm25_search.UNIT + 0.5)
             if total:
                 scores.append((-total, i))
         want = [(k + 1, i) for k, (_, i) in enumerate(sorted(scores)[:5])]

@@ -12,15 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.graph import connected_components
-from tidemill.llm.runtime import durable, keep_rows, maybe_member, membership_bitmap, table, text_key
+from tidemill.llm.runtime import durable, keep_rows, maybe_member, table, text_key
 
 SHINGLE_WORDS = 3
 RADIUS = 3
 SEED = 42
 #: Shingle hashes whose bits are counted at once; bounds memory for very long texts.
 CHUNK = 1 << 15
-#: Fingerprints held unsorted in a leaf of a tree.
-LEAF = 32
+#: Pairs of a query and a tree node that are compared at once.
+STEP = 1 << 20
 #: Fingerprints of one block value in one tree; larger buckets are split into several trees.
 SHARD = 4096
 
@@ -35,7 +35,7 @@ NEAR_ROWS = 4
 #: At 0.8 a bit differs with probability 0.15 (39 of 256; up to 0.19 or 48 for sets of a few shingles, deviation 6).
 NEAR_RADIUS = 80
 #: Nearest candidates of a text compared in the first round of a cell; each further round of it takes NEAR_GROWTH times as many.
-NEAR_FIRST = 8
+NEAR_FIRST = 2
 NEAR_GROWTH = 8
 #: Texts whose shingle sets are made at once.
 SET_TEXTS = 128
@@ -91,50 +91,55 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return bits[..., 0] if bits.shape[-1] == 1 else bits.sum(axis=-1, dtype=np.int16)
 
 
-class BkTree:
-    """A Burkhard-Keller tree over fingerprints (rows of 64-bit fields): children are keyed by their Hamming distance to the parent.
+class BkForest:
+    """Burkhard-Keller trees over fingerprints (rows of 64-bit fields), one for each cell: children are keyed by their Hamming
+    distance to the parent.
 
-    ``link`` sends a set of queries down at once, follows only the edges whose key is within the radius of the
-    query's distance to the parent, and hands over (tree position, query position) pairs within the radius.
+    All trees grow level by level at once: a cell's first member is its root; the others go to the child of their distance,
+    and the first to come there is that child.
     """
 
-    def __init__(self, values: np.ndarray):
-        self.values = values
-        self.root = self._build(np.arange(len(values)))
-
-    def _build(self, members: np.ndarray):
-        top: list = [None]
-        todo = [(members, top, 0)]
+    def __init__(self, values: np.ndarray, cells: np.ndarray):
+        """``cells``: the cell of each value, ascending."""
+        self.values, self.span = values, 64 * values.shape[-1] + 1
+        fresh = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, np.int64)
+        self.cells, self.roots = cells[fresh], fresh
+        parent = np.repeat(fresh, np.diff(np.r_[fresh, len(cells)]))
+        rest = np.setdiff1d(np.arange(len(cells)), fresh, assume_unique=True)
+        parent = parent[rest]
+        edges, children = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(rest):
+            edge = parent * self.span + distance(values[rest], values[parent])
+            known, first, where = np.unique(edge, return_index=True, return_inverse=True)
+            edges.append(known)
+            children.append(rest[first])
+            below = rest[first][where]
+            deeper = below != rest
+            rest, parent = rest[deeper], below[deeper]
+        edge, child = np.concatenate(edges), np.concatenate(children)
+        order = np.argsort(edge)
+        #: parent and distance as one number, and the child there
+        self.edge, self.child = edge[order], child[order]
+
+    def link(self, queries: np.ndarray, cells: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(tree position, query position) pairs within ``radius``; a query is asked in the tree of its cell (there is one)
+        and follows only the edges whose key is within the radius of its distance to the parent."""
+        todo = [(np.arange(len(queries)), self.roots[np.searchsorted(self.cells, cells)])]
         while todo:
-            part, holder, key = todo.pop()
-            if len(part) <= LEAF:
-                holder[key] = part
+            asked, node = todo.pop()
+            if len(asked) > STEP:
+                todo += [(asked[at : at + STEP], node[at : at + STEP]) for at in range(0, len(asked), STEP)]
                 continue
-            pivot, rest = part[0], part[1:]
-            apart = distance(self.values[rest], self.values[pivot])
-            children: dict[int, object] = {}
-            holder[key] = (pivot, children)
-            todo += [(rest[apart == d], children, int(d)) for d in np.unique(apart)]
-        return top[0]
-
-    def link(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        todo = [(self.root, np.arange(len(queries)))]
-        while todo:
-            node, asked = todo.pop()
-            if isinstance(node, tuple):
-                pivot, children = node
-                apart = distance(queries[asked], self.values[pivot]).astype(np.int16)
-                near = asked[apart <= radius]
-                yield np.full(len(near), pivot), near
-                for d, child in children.items():
-                    follow = asked[np.abs(apart - d) <= radius]
-                    if len(follow):
-                        todo.append((child, follow))
-            else:
-                for at in range(0, len(asked), SHARD):
-                    part = asked[at : at + SHARD]
-                    i, j = np.nonzero(distance(self.values[node][:, None], queries[part][None, :]) <= radius)
-                    yield node[i], part[j]
+            apart = distance(queries[asked], self.values[node]).astype(np.int64)
+            near = apart <= radius
+            yield node[near], asked[near]
+            low = np.searchsorted(self.edge, node * self.span + np.maximum(apart - radius, 0))
+            high = np.searchsorted(self.edge, node * self.span + np.minimum(apart + radius, self.span - 1), side="right")
+            ways = high - low
+            if ways.any():
+                ends = np.cumsum(ways)
+                at = np.arange(ends[-1]) + np.repeat(low - (ends - ways), ways)
+                todo.append((np.repeat(asked, ways), self.child[at]))
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -162,32 +167,22 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return target[label]
 
 
-def _cell_links(nodes: np.ndarray, values: np.ndarray, in_tree: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a cell as stars: (node, first node of its set inside the cell)."""
-    tree_at = np.flatnonzero(in_tree)
-    asked_at = tree_at if len(tree_at) == len(values) else np.flatnonzero(~in_tree)
-    tree, queries = BkTree(values[tree_at]), values[asked_at]
+def _cell_links(nodes: np.ndarray, values: np.ndarray, in_tree: np.ndarray, start: np.ndarray, stop: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of cells as stars: (node, first node of its set inside the cell).
+
+    Members outside a cell's tree ask it; where all are inside, they ask each other.
+    """
+    cell = np.repeat(np.arange(len(start)), stop - start)
+    whole = np.logical_and.reduceat(in_tree, start)[cell]
+    tree_at, asked_at = np.flatnonzero(in_tree), np.flatnonzero(whole | ~in_tree)
+    forest = BkForest(values[tree_at], cell[tree_at])
     label = np.arange(len(values))
-    for i, j in tree.link(queries, radius):
+    for i, j in forest.link(values[asked_at], cell[asked_at], radius):
         label = _merge(label, tree_at[i], asked_at[j])
     moved = np.flatnonzero(label != np.arange(len(values)))
     return nodes[moved], nodes[label[moved]]
 
 
-def _worth_a_tree(start: np.ndarray, stop: np.ndarray, values: np.ndarray, radius: int) -> np.ndarray:
-    """Which cells may have a link: large ones, and small ones where a pair is within the radius (all cells at once)."""
-    size = stop - start
-    worth = size > LEAF
-    owner = np.repeat(np.arange(len(start)), size)
-    small = np.flatnonzero(~worth[owner] & (size[owner] > 1))
-    for step in range(1, LEAF):
-        small = small[small + step < stop[owner[small]]]
-        if not len(small):
-            break
-        worth[owner[small[distance(values[small], values[small + step]) <= radius]]] = True
-    return worth
-
-
 def _link_cells(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -206,14 +201,10 @@ def _link_cells(radius: int):
                 start, stop = start[:-1], stop[:-1]
             nodes, in_tree = data[3], data[4] == 1
             values = np.ascontiguousarray(data[5:].T).view(np.uint64)
-            left, right = [], []
-            for c in np.flatnonzero(_worth_a_tree(start, stop, values, radius)).tolist():
-                s, e = start[c], stop[c]
-                a, b = _cell_links(nodes[s:e], values[s:e], in_tree[s:e], radius)
-                left.append(a)
-                right.append(b)
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], ["a", "b"])
+            if len(start):
+                end = stop[-1]
+                a, b = _cell_links(nodes[:end], values[:end], in_tree[:end], start, stop, radius)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
@@ -335,13 +326,17 @@ def _near_sketches(texts: pd.Series) -> pd.DataFrame:
 def _nearest(nodes: np.ndarray, values: np.ndarray, label: np.ndarray, side: np.ndarray, k: int) -> tuple[list[np.ndarray], bool]:
     """Pairs of each text of a cell and its ``k`` nearest candidates of other labels, and whether any text has more.
 
-    ``side``: 0 for texts asked about only, 1 for those compared with each other and with these.
+    ``side``: 0 for texts asked about only, 1 for those compared with each other and with these. Texts of the label that most
+    have do not ask: of two texts of different labels one at least does.
     """
     held = np.flatnonzero(side == 1)
     asked = held if len(held) == len(nodes) else np.flatnonzero(side == 0)
+    names, where, sizes = np.unique(label, return_inverse=True, return_counts=True)
+    asks = where != np.argmax(sizes)
     pairs, more = [], False
     # both directions: a text of either side has its own nearest ones
     for left, right in [(asked, held)] if asked is held else [(asked, held), (held, asked)]:
+        left = left[asks[left]]
         step = max(1, (1 << 20) // max(1, len(right)))
         for start in range(0, len(left), step):
             part = left[start : start + step]
@@ -400,10 +395,17 @@ def _near_pairs(k: int):
     return run
 
 
-def _near_cells(prints: DataFrame, shard: int) -> DataFrame:
-    """Cells (key, i, j) of texts that share a band; a key of over ``shard`` texts is cut into parts, and each two parts meet in a cell."""
-    keyed = prints.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").count().filter("count > 1")
+def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` with ``label``, the component of their node."""
+    found = members.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
+    return found.withColumn("label", F.coalesce("root", "node")).drop("root")
+
+
+def _near_cells(keyed: DataFrame, roots: DataFrame, shard: int) -> DataFrame:
+    """Cells (key, i, j) of texts that share a band and are of several components; a key of over ``shard`` texts is cut into parts,
+    and each two parts meet in a cell."""
+    shared = _labelled(keyed, roots).groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("label").alias("low"), F.max("label").alias("high"))
+    shared = shared.filter("low < high").select("key", "count")
     placed = keyed.join(shared, "key").withColumn("parts", F.ceil(F.col("count") / shard).cast("int"))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
     return placed.select("key", "node", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
@@ -416,18 +418,29 @@ def _confirmed(pairs: DataFrame, prints: DataFrame, docs: DataFrame, text_col: s
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(prints.select("node", F.col("best.text_key").alias("text_key")), "node")
     wanted = durable(wanted)
     texts = docs.select(text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    texts = maybe_member(texts, membership_bitmap(wanted, "text_key"), "text_key").join(wanted, "text_key").dropDuplicates(["node"])
+    texts = maybe_member(texts, wanted.select("text_key").distinct(), "text_key").filter("maybe_").join(wanted, "text_key").dropDuplicates(["node"])
     sets = durable(texts.select("node", "text").mapInArrow(_shingle_sets, "node long, shingles array<long>"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     return both.filter(shared / (F.size("of_a") + F.size("of_b") - shared) >= NEAR_LEAST).select("a", "b")
 
 
+def _stars(keyed: DataFrame, prints: DataFrame, fields: list[str]) -> DataFrame:
+    """Candidate pairs (a, b) of each text and the smallest one of each of its bands: at most NEAR_BANDS for a text, and in a large
+    group mostly the same one in all bands."""
+    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("key", "hub")
+    pairs = keyed.join(hubs, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    sketch = lambda name: prints.select(F.col("node").alias(name), F.struct(*fields).alias(f"of_{name}"))
+    apart = sum((F.bit_count(F.col(f"of_a.{w}").bitwiseXOR(F.col(f"of_b.{w}"))) for w in fields), F.lit(0))
+    return pairs.join(sketch("a"), "a").join(sketch("b"), "b").filter(apart <= NEAR_RADIUS).select("a", "b")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD, first: int = NEAR_FIRST) -> DataFrame:
     """Components of texts whose sets of five-word shingles have a similarity of 0.8 and more, in rows as of ``simhash_components``.
 
-    Texts with equal sets are one node. Each text is first compared with its ``first`` nearest candidates of a cell.
-    Cells where a text had more are asked again for more of them, now only across the components found so far, until
+    Texts with equal sets are one node. Each text is first compared with the smallest text of each of its bands, which joins
+    most groups by as many comparisons as they have members. Only bands whose texts are then still of several components
+    go on: their texts are compared with their ``first`` nearest candidates of other components, then with more, until
     every candidate pair is either compared or inside a component.
     """
     fields = [f"w{i}" for i in range(NEAR_FIELDS)]
@@ -435,30 +448,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("text_key"), sketches(F.col(text_col)).alias("fp"))
     base = durable(base.select("id", "text_key", "fp.*"))
     prints = durable(base.groupBy("node").agg(_best(), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in [*fields, "bands"]]))
-    cells = durable(_near_cells(prints, shard))
-    links, roots, k = None, None, first
-    while True:
-        members = cells.join(prints.select("node", *fields), "node")
-        label = F.col("node")
-        if roots is not None:
-            members, label = members.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left"), F.coalesce("root", "node")
-        members = members.select("key", "i", "j", "node", "side", label.alias("label"), *fields)
+    keyed = prints.select("node", F.explode("bands").alias("key"))
+    links = durable(_confirmed(durable(_stars(keyed, prints, fields)), prints, docs, text_col))
+    roots = connected_components(links)
+    cells, k = durable(_near_cells(keyed, roots, shard)), first
+    while not cells.isEmpty():
+        members = _labelled(cells.join(prints.select("node", *fields), "node"), roots).select("key", "i", "j", "node", "side", "label", *fields)
         spread = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
         found = durable(spread.mapInArrow(_near_pairs(k), "a long, b long, key long, i long, j long"))
-        fresh = _confirmed(found.filter("a is not null").select("a", "b").distinct(), prints, docs, text_col)
-        links = durable(fresh if links is None else links.unionByName(fresh))
+        fresh = _confirmed(durable(found.filter("a is not null").select("a", "b").distinct()), prints, docs, text_col)
+        links = durable(links.unionByName(fresh))
         roots = connected_components(links)
         unfinished = found.filter("a is null").select("key", "i", "j")
-        if unfinished.isEmpty():
-            return _named(base, prints, roots, fields, id_col)
         cells = durable(cells.join(unfinished, ["key", "i", "j"], "left_semi"))
         k *= NEAR_GROWTH
+    return _named(base, prints, roots, fields, id_col)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component of near copies stays."""
-    found = near_copies(docs, id_col, text_col)
-    return keep_rows(docs, found.filter("chosen").select(id_col, "text_key"), id_col, text_col)
+    return keep_rows(docs, near_copies(docs, id_col, text_col), "chosen", id_col, text_col)
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
