@@ -44,6 +44,15 @@ def test_same_tokens_as_the_library(words, ids, text):
     assert ids[0].encode(text) == np.array(ids[1].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_every_code_point_as_the_library(words, ids):
+    """Alone and before an ending, in runs of code points that follow each other."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not (0x3500 < c < 0x9F00 or 0xAD00 < c < 0xD700 or 0x20100 < c < 0x323A0 or 0x33500 < c < 0xE0000 or 0xE0200 < c)]
+    texts = ["".join(f"a{chr(c)}'s {chr(c)}b {chr(c)}1'll " for c in points[at : at + 8]) for at in range(0, len(points), 8)]
+    for text, a, b in zip(texts, words[1].encode_batch(texts, add_special_tokens=False), ids[1].encode_batch(texts, add_special_tokens=False), strict=True):
+        assert words[0].count(text) == len(a.ids)
+        assert ids[0].encode(text) == np.array(b.ids, "<u4").tobytes()
+
+
 def test_token_counts(spark, words):
     df = token_counts.token_counts(frame(spark, [*HARD, *HARD]), P.path("word_bpe_49k.json"))
     assert df.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
@@ -203,6 +212,23 @@ def test_search_never_loses_pieces_and_helps():
     assert gained
 
 
+def test_search_takes_all_underfull_sequences():
+    """More underfull sequences than any fixed number; all of them change."""
+    first = Counter({(50 + i, 20 + i % 7): 3 for i in range(20)}) + Counter({(31,): 900, (69,): 40, (30,): 900})
+    after = packing.local_search(first, 100)
+    pieces = lambda bins: Counter(x for c, n in bins.items() for x in c for _ in range(n))
+    assert pieces(after) == pieces(first) and all(0 < sum(c) <= 100 for c in after)
+    assert sum(after.values()) < sum(first.values()) - 1000
+    assert all(packing._partner(c, after, 100) is None for c in after if sum(c) < 100) or sum(n * (100 - sum(c)) for c, n in after.items()) < 100
+
+
+def test_null_ids_and_equal_rows_are_packed(spark):
+    rows = [(None, "a b"), (None, "a b"), (7, None), (7, None), (7, "c " * 3000)] * 5
+    packed = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), P.path("byte_bpe_50k.json")).collect()
+    assert Counter((r["doc_id"], r["piece"]) for r in packed) == {(None, 0): 10, (7, 0): 15, (7, 1): 5}
+    assert len({(r["sequence_id"], r["offset"]) for r in packed}) == len(packed)
+
+
 def test_steps():
     assert packing._step([5, 3], [7], 4) == ([3], []) or packing._step([5, 3], [7], 4) is not None
     assert packing._step([9], [6], 4) == ([9], [6])

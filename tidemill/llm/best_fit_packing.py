@@ -22,15 +22,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.runtime import durable, table
-from tidemill.llm.token_counts import CACHE_WORDS, SPACE, WORD_CHARS, byte_letters, is_latin, latin_letters
+from tidemill.llm.token_counts import CACHE_WORDS, SPACE, WORD_CHARS, byte_letters, is_latin, latin_letters, newer_letters
 
 CAPACITY = 2048
 END_ID = 0
 #: Rows ranked together inside one length and salt.
-RANK_ROWS = 20_000
-#: Sequences of a group that the local search may take apart one by one, and its rounds.
-SEARCH_BINS = 512
-SEARCH_ROUNDS = 64
+RANK_ROWS = 4_000
 #: Texts of an input batch whose pieces are put out together.
 OUT_ROWS = 4096
 
@@ -65,9 +62,10 @@ class TextIds(dict):
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.special.search(text):
+        latin = is_latin(text)
+        if self.special.search(text) or not latin and newer_letters().search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, (self.latin_words if is_latin(text) else self.words)(text)))
+        return b"".join(map(self.__getitem__, (self.latin_words if latin else self.words)(text)))
 
 
 @lru_cache(maxsize=2)
@@ -144,63 +142,42 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter[Bin]:
     return total
 
 
-def local_search(bins: Counter[Bin], capacity: int, most: int = SEARCH_BINS, rounds: int = SEARCH_ROUNDS) -> Counter[Bin]:
-    """Empties sequences by moves and exchanges between underfull ones.
+def local_search(bins: Counter[Bin], capacity: int) -> Counter[Bin]:
+    """Empties sequences by moves and exchanges between underfull ones, until nothing improves.
 
-    A step moves a piece, exchanges one piece for one, or two for one, from a less full to a fuller sequence,
-    always raising the sum of squared fills, so it ends; a sequence that becomes empty is dropped. Up to ``most``
-    of the least filled sequences take part in a round, which is repeated while it changes something (at most
-    ``rounds`` times). A result is never worse than its input.
+    A step moves a piece, exchanges one piece for one, or two for one, from a less full to a fuller sequence; sequences
+    with the same contents take it together. Each step raises the sum of squared fills, so the search ends; a sequence
+    that becomes empty is dropped. All underfull sequences take part. The search also ends when there are no more
+    sequences than their total length needs, as none can be emptied then. A result is never worse than its input.
     """
-    bins = Counter(bins)
-    for _ in range(rounds):
-        short = sorted((c for c in bins if sum(c) < capacity), key=sum)
-        taken: list[Bin] = []
-        for c in short:
-            n = min(bins[c], most - len(taken))
-            taken += [c] * n
-            bins[c] -= n
-            if not bins[c]:
-                del bins[c]
-            if len(taken) >= most:
-                break
-        spare = sum(capacity - sum(c) for c in taken)
-        if not taken or spare < min(map(sum, taken)):
-            bins.update(taken)
-            break
-        after, changed = _improve([list(c) for c in taken], capacity)
-        bins.update(tuple(sorted(c, reverse=True)) for c in after if c)
-        if not changed:
-            break
-    return bins
-
-
-def _improve(bins: list[list[int]], capacity: int) -> tuple[list[list[int]], bool]:
-    fill = [sum(b) for b in bins]
-    changed = False
-    for giver in sorted(range(len(bins)), key=fill.__getitem__):
-        progress = True
-        while bins[giver] and progress:
-            progress = False
-            for taker in sorted(range(len(bins)), key=lambda i: -fill[i]):
-                room = capacity - fill[taker]
-                if taker == giver or not room or not bins[taker] or fill[taker] < fill[giver]:
-                    continue
-                step = _step(bins[giver], bins[taker], room)
-                if step:
-                    out, back = step
-                    for x in out:
-                        bins[giver].remove(x)
-                    for x in back:
-                        bins[taker].remove(x)
-                    bins[giver] += back
-                    bins[taker] += out
-                    gain = sum(out) - sum(back)
-                    fill[giver] -= gain
-                    fill[taker] += gain
-                    progress = changed = True
-                    break
-    return bins, changed
+    short = Counter({c: n for c, n in bins.items() if sum(c) < capacity})
+    done = Counter({c: n for c, n in bins.items() if sum(c) >= capacity})
+    spare = sum(n * (capacity - sum(c)) for c, n in short.items())
+    changed = True
+    while changed and spare >= capacity:
+        changed = False
+        for giver in sorted(short, key=lambda c: (sum(c), c)):
+            while spare >= capacity and short[giver] and (found := _partner(giver, short, capacity)):
+                taker, out, back = found
+                n = min(short[giver], short[taker]) if taker != giver else short[giver] // 2
+                less, more = (tuple(sorted((Counter(c) - Counter(a) + Counter(b)).elements(), reverse=True)) for c, a, b in ((giver, out, back), (taker, back, out)))
+                for content, by in ((giver, -n), (taker, -n), (less, n), (more, n)):
+                    (done if sum(content) >= capacity else short)[content] += by
+                if not less:  # emptied
+                    del short[less]
+                    spare -= n * capacity
+                changed, giver = True, less
+        short = +short
+    return short + done
+
+
+def _partner(giver: Bin, short: Counter[Bin], capacity: int) -> tuple[Bin, list[int], list[int]] | None:
+    """The fullest sequence that a step from ``giver`` fills further, and the step."""
+    fill = sum(giver)
+    for taker in sorted((c for c, n in short.items() if n > (c == giver) and sum(c) >= fill), key=lambda c: (-sum(c), c)):
+        if step := _step(list(giver), list(taker), capacity - sum(taker)):
+            return taker, *step
+    return None
 
 
 def _step(giver: list[int], taker: list[int], room: int) -> tuple[list[int], list[int]] | None:
@@ -242,13 +219,13 @@ def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray
 
 
 def ranked(pieces: DataFrame, order: list[str], total: int) -> DataFrame:
-    """``pieces`` with ``rank``, from 0 without gaps inside each length.
+    """``pieces`` (checkpointed) with ``rank``, from 0 without gaps inside each length.
 
     Ranks are counted inside (length, salt), with as many salts as the total asks for, so that one frequent
-    length is spread; the start of each salt comes from its counts.
+    length is spread; the start of each salt comes from its counts. The salt is of a row's place, so equal rows are spread.
     """
     salts = max(1, -(-total // RANK_ROWS))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    salted = pieces.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
     sizes = salted.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))

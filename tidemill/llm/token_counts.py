@@ -5,9 +5,11 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import sys
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,15 @@ def is_latin(text: str) -> bool:
     return True
 
 
+@lru_cache(maxsize=1)
+def newer_letters() -> re.Pattern:
+    """Finds code points that this Python's Unicode does not assign. Libraries follow other versions of Unicode, so whether
+    such a code point is a letter, and what its lower case is, is asked of the vocabulary's own library."""
+    bare = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
+    edge = np.flatnonzero(np.diff(np.r_[False, bare, False]))
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in edge.reshape(-1, 2).tolist()) + "]")
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -116,6 +127,7 @@ class TextCounter(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -134,9 +146,17 @@ class TextCounter(dict):
             self[word] = n
         return n
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0
+        if not is_latin(text) and newer_letters().search(text):
+            return len(self.library.encode(text, add_special_tokens=False).ids)
         if self.special.search(text) is None:
             return self._plain(text)
         parts = self.special.split(text)
@@ -158,7 +178,8 @@ def _counter(path: str) -> TextCounter:
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """n_bytes, n_tokens and over_limit of each row's whole text, one row per row in no set order.
 
-    Strings of added tokens inside a text count as one token each. A null text counts as empty (0, 0, false);
+    Strings of added tokens inside a text count as one token each. Texts with code points newer than this Python's Unicode
+    are counted by the vocabulary's library. A null text counts as empty (0, 0, false);
     repeated rows are counted each; an empty table gives no rows; other columns are ignored. ``vocabulary``: path
     of the vocabulary file, readable on every executor. Narrow: no shuffle; words outside the bounded cache are
     merged in O(n log n), so a very long word costs no more than its share.
