@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.runtime import table, whole_rows
+from tidemill.llm.runtime import table, text_key, whole_rows
 
 #: Hash buckets of terms, factors of a term, and labelled rows a model is fitted on at most.
 BUCKETS = 1 << 16
@@ -23,7 +23,6 @@ SAMPLE_ROWS = 12_000
 LEAST_TEXTS = 3
 LEAST_CHI2 = 20.0
 LEAST_PAIR_CHI2 = 60.0
-COPY_WORDS = 5
 FOLDS = 5
 CACHE_TERMS = 1 << 19
 
@@ -68,13 +67,6 @@ def terms_of(text: str | None) -> list[int]:
     return sorted({crc32(t.encode()) % BUCKETS for t in set(_words((text or "").lower()))})
 
 
-def copy_key(text: str | None) -> int:
-    """Smallest hash of a text's shingles of five words: mostly the same for near copies."""
-    words = (text or "").lower().split()
-    n = min(COPY_WORDS, len(words))
-    return min((crc32(" ".join(w).encode()) for w in zip(*(words[i:] for i in range(n)), strict=False)), default=0)
-
-
 def telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Buckets whose presence goes with the label 1 or 0, by a chi-square test."""
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -188,8 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model of labels.toxic from labelled rows outside fold 0, at most ``sample`` of them.
 
     The sample is the rows with the smallest hashes of their ids (so it does not depend on partitioning); its ids
-    are broadcast (at most ``sample`` rows). Copies and most near copies count once. Rows with a null id or label are not
-    used. Only the sampled rows' buckets reach the driver.
+    are broadcast (at most ``sample`` rows). Rows with a null id or label are not used; of an id with several labels or
+    texts the largest label and the text of the smallest hash count. Only the buckets of ``sample`` rows at most reach the driver.
     """
     chosen = (
         labels.select(F.col(id_col).alias("label_id"), F.col("toxic").cast("double").alias("toxic"))
@@ -201,14 +193,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .limit(sample)
     )
     buckets = F.pandas_udf(lambda s: s.map(terms_of, na_action=None), "array<int>")
-    key = F.pandas_udf(lambda s: s.map(copy_key, na_action=None), "long")
     rows = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
-        .select(key("text").alias("key"), "label_id", "toxic", buckets("text").alias("terms"))
+        .select("label_id", F.struct(text_key("text").alias("key"), buckets("text").alias("terms"), "toxic").alias("row"))
+        .groupBy("label_id")
+        .agg(F.min("row").alias("row"))
+        .select("label_id", "row.*")
         .toPandas()
-        .sort_values(["key", "label_id"])
-        .drop_duplicates("key")
+        .sort_values("label_id")
     )
     return fit([np.asarray(t, np.int64) for t in rows["terms"]], rows["toxic"].to_numpy(np.float64))
 
