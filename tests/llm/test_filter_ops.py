@@ -91,6 +91,31 @@ def test_toxicity(spark):
     assert toxicity.toxicity_scores(docs.limit(0), none).count() == 0
 
 
+def test_score_is_the_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    model = toxicity.FactorizationMachine(0.3, rng.normal(0, 1, 9), rng.normal(0, 1, (9, toxicity.FACTORS)), np.arange(9))
+    for at in ([], [4], [0, 3, 8], list(range(9))):
+        z = model.bias + sum(model.weight[i] for i in at) + sum(model.factor[i] @ model.factor[j] for i in at for j in at if i < j)
+        assert abs(model.probability(np.array([-1, *at], np.int64)) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_labels_of_repeated_ids_and_documents(spark):
+    """Repeated ids never give more rows than the sample's bound, and partitioning does not change the model."""
+    rows = [(i % 40, f"word{chr(97 + i % 23)} {'bad' if i % 40 < 9 else 'good'} thing") for i in range(400)] + [(None, "bad")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, int(i < 9)) for i in range(40)] * 2, "doc_id long, quality int, toxic int")
+    a, b = (toxicity.train(docs.repartition(n), marks.repartition(n)) for n in (1, 5))
+    assert a.bias == b.bias and (a.weight == b.weight).all() and a.score("bad thing") > a.score("good thing")
+
+
+def test_stages_on_empty_tables(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SMALL).count() == 0
+
+
 def test_pair_of_words_that_tell_nothing_alone():
     """Two words each in 600 texts toxic at the base rate, and together in 30 more, all toxic."""
     rng = random.Random(2)
@@ -141,6 +166,56 @@ def test_secret_spans(spark):
     assert secret_scan.secret_report(docs.limit(0)).count() == 0
 
 
+def plain_links(parts):
+    """Spans and credentials of (start, rank, end) parts, by comparing all parts with each other."""
+    gap = lambda p, q: max(0, q[0] - p[2], p[0] - q[2])
+    near = lambda p, ranks, scope: any(q[1] in ranks and (q[2] > p[0] - scope and q[0] < p[2] + scope) for q in parts)
+    scope = secret_scan.SCOPE
+    spans = []
+    for p in parts:
+        ident, secret = near(p, (1, 3), scope), near(p, (0, 4), scope)
+        needed = {3: secret, 4: ident, 5: ident and secret}.get(p[1], True)
+        if p[1] <= 2 or needed and not near(p, (0, 1, 2), 0):
+            spans.append(p)
+    credentials = []
+    for i, p in enumerate(spans):
+        if p[1] in (0, 4):
+
+            def nearest(ranks, i=i, p=p):
+                at = [[j for j, q in enumerate(spans) if q[1] in ranks and j < i][-1:], [j for j, q in enumerate(spans) if q[1] in ranks and j > i][:1]]
+                return min(((gap(p, spans[j]), side, j) for side, js in enumerate(at) for j in js if gap(p, spans[j]) < scope), default=(0, 0, None))[2]
+
+            if nearest((1, 3)) is not None:
+                credentials.append((nearest((1, 3)), i, nearest((5,))))
+    return spans, credentials
+
+
+def test_links_against_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(120):
+        parts, at = [], 0
+        for _ in range(rng.randint(0, 25) if i % 10 else 600):
+            at += rng.choice([5, 50, 299, 300, 301, 900])
+            parts.append((at, rng.randrange(6), at + rng.choice([3, 20, 100])))
+        rows.append((i, sorted(parts)))
+    df = spark.createDataFrame(rows, "row_ long, parts_ array<struct<start:long,rank:int,end:long>>")
+    linked = 0
+    for r in secret_scan._linked(df).select("row_", "spans_", "credentials_").collect():
+        spans, credentials = plain_links(rows[r["row_"]][1])
+        assert [tuple(s) for s in r["spans_"]] == spans
+        assert [tuple(c) for c in r["credentials_"]] == credentials
+        linked += len(credentials)
+    assert linked > 100
+
+
+def test_credentials(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS)], "doc_id long, text string")
+    got = {SECRETS[r["doc_id"]]: r["credentials"] for r in secret_scan.secret_report(docs).collect()}
+    assert got["user=joe token=abcdef"] == "ident:0:8+weak:9:21" and got["user=joe"] == got[""] == got[None] == ""
+    assert got[SECRETS[9]] == "access:0:20+weak:21:35+endpoint:36:62"
+
+
 def test_running_totals(spark):
     for n in (0, 1, 255, 256, 257, 1000):
         row = spark.range(1).select(F.expr(f"transform(sequence(1, 1000), x -> CAST(x % 7 AS BIGINT))").alias("v")).select(F.slice("v", 1, n).alias("v"))

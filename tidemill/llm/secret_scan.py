@@ -48,13 +48,15 @@ def running(values: str, join: str, zero: int) -> str:
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``row_`` (all columns of ``docs``) and ``spans_``: array of (start, rank, end), ordered; rank is a place in KINDS.
+    """``row_`` (all columns of ``docs``), ``spans_``: array of (start, rank, end), ordered, rank a place in KINDS, and
+    ``credentials_``: array of the places in ``spans_`` of an identifier, its secret and, if there is one, its endpoint.
 
-    Narrow, whole texts, no Python. Parts are linked by an interval join inside the row: all parts in order of their
+    Narrow, whole texts, no Python. Parts are linked by an interval join inside the row, done as a sweep: all parts in order of their
     start, with the running largest end of what lies before and smallest start of what follows for each kind, tell in
     linear time whether a complementary part is within SCOPE code points. A weak secret needs an identifier, an
-    identifier needs a secret, an endpoint needs both. Weak parts that overlap a base span are dropped. A null or
-    empty text has no spans.
+    identifier needs a secret, an endpoint needs both. Weak parts that overlap a base span are dropped. Each named or weak
+    secret then makes one credential with the identifier next to it in SCOPE (the one before or the one after it, whichever
+    gap is smaller, the one before if they are equal) and the endpoint next to it likewise. A null or empty text has none.
     """
     df = whole_rows(docs).withColumn("text_", F.coalesce(F.col(f"row_.`{text_col}`"), F.lit("")))
     text = F.col("text_")
@@ -80,7 +82,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
         f"filter(transform({n}_found_, (m, i) -> named_struct('start', get({n}_ends_, i) - length(m), 'rank', CAST({r} AS INT), 'end', get({n}_ends_, i))), p -> p.rank IS NOT NULL)"
         for n, r in ranks.items()
     )
-    return _linked(df.select("row_", F.expr(f"array_sort(concat({spans}))").alias("parts_"))).select("row_", "spans_")
+    return _linked(df.select("row_", F.expr(f"array_sort(concat({spans}))").alias("parts_"))).select("row_", "spans_", "credentials_")
 
 
 def _linked(df: DataFrame) -> DataFrame:
@@ -98,16 +100,43 @@ def _linked(df: DataFrame) -> DataFrame:
     ident, secret = near("ident", SCOPE), near("secret", SCOPE)
     needed = f"CASE p.rank WHEN 4 THEN {ident} WHEN 3 THEN {secret} ELSE {ident} AND {secret} END"
     kept = f"IF({weak}, filter(parts_, (p, i) -> p.rank <= 2 OR ({needed} AND NOT {near('base', 0)})), parts_)"
-    return df.withColumns(reach).withColumns(joined).withColumn("spans_", F.expr(kept))
+    return _credentials(df.withColumns(reach).withColumns(joined).withColumn("spans_", F.expr(kept)))
+
+
+def _credentials(df: DataFrame) -> DataFrame:
+    """``credentials_`` of ``spans_``, by the running place of the last part of a kind before each span, and of the first after it."""
+    kinds = {"ident": "1, 3", "endpoint": "5"}
+    both = "(exists(spans_, p -> p.rank IN (0, 4)) AND exists(spans_, p -> p.rank IN (1, 3)))"
+    none = "CAST(array() AS ARRAY<BIGINT>)"
+    places = {}
+    for name, among in kinds.items():
+        places[f"{name}_before_"] = F.expr(f"IF({both}, transform(spans_, (p, i) -> IF(p.rank IN ({among}), CAST(i AS BIGINT), -1)), {none})")
+        places[f"{name}_after_"] = F.expr(f"IF({both}, reverse(transform(spans_, (p, i) -> IF(p.rank IN ({among}), CAST(i AS BIGINT), {FAR}))), {none})")
+    swept = {f"{n}_before_": F.expr(running(f"{n}_before_", "greatest({a}, {b})", -1)) for n in kinds}
+    swept |= {f"{n}_after_": F.expr(f"reverse({running(f'{n}_after_', 'least({a}, {b})', FAR)})") for n in kinds}
+
+    def nearest(name: str) -> str:
+        before, after = f"get({name}_before_, i)", f"get({name}_after_, i)"
+        gap_before = f"IF({before} >= 0, greatest(p.start - get(spans_, CAST({before} AS INT)).end, 0), {FAR})"
+        gap_after = f"IF({after} < {FAR}, greatest(get(spans_, CAST({after} AS INT)).start - p.end, 0), {FAR})"
+        return f"CASE WHEN least({gap_before}, {gap_after}) >= {SCOPE} THEN NULL WHEN {gap_before} <= {gap_after} THEN {before} ELSE {after} END"
+
+    one = f"IF(p.rank IN (0, 4), named_struct('ident', {nearest('ident')}, 'secret', CAST(i AS BIGINT), 'endpoint', {nearest('endpoint')}), NULL)"
+    made = f"IF({both}, filter(transform(spans_, (p, i) -> {one}), c -> c.ident IS NOT NULL), array())"
+    return df.withColumns(places).withColumns(swept).withColumn("credentials_", F.expr(made))
+
+
+def _named(span: Column) -> Column:
+    return F.concat_ws(":", F.get(F.array(*[F.lit(k) for k in KINDS]), span["rank"]), span["start"].cast("string"), span["end"].cast("string"))
 
 
 def _written(spans: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.transform(spans, _named), ",")
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: counts of base spans, digest of the base spans, and all spans as text.
+    """One row per row: counts of base spans, digest of the base spans, all spans as text, and the credentials as text (the spans
+    of one joined by ``+``).
 
     Null and empty texts have no spans (empty strings, the digest of an empty text); repeated rows are reported
     each; an empty table gives no rows; other columns are ignored.
@@ -120,6 +149,12 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         *[count(i).alias(f"n_{k}") for i, k in enumerate(BASE)],
         F.sha2(_written(base), 256).alias("base_sha256"),
         _written(F.col("spans_")).alias("spans"),
+        F.array_join(
+            F.transform(
+                "credentials_", lambda c: F.array_join(F.transform(F.array_compact(F.array(c["ident"], c["secret"], c["endpoint"])), lambda i: _named(F.get("spans_", i.cast("int")))), "+")
+            ),
+            ",",
+        ).alias("credentials"),
     )
 
 
