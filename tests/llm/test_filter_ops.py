@@ -1,6 +1,7 @@
 """URL filter, toxicity, secret scan and pipeline."""
 
 import hashlib
+import itertools
 import random
 import re
 from zlib import crc32
@@ -57,6 +58,52 @@ def test_mined_rules_are_pruned(spark):
     assert ["a"] in [r["tokens"] for r in rules] and not any(len(r["tokens"]) > 1 and "a" in r["tokens"] for r in rules)
 
 
+def plain_rules(rows, min_support, min_confidence, min_lift):
+    """All sets of tokens with their confidence, by enumeration, pruned as ``mine_rules`` says."""
+    n, base = len(rows), sum(b for _, b in rows) / len(rows)
+    support = max(min_support, url_filter.MIN_ROWS / n)
+    least = max(min_confidence, min_lift * base)
+    found = {}
+    for tokens, _ in rows:
+        for size in range(1, len(tokens) + 1):
+            for part in itertools.combinations(sorted(tokens), size):
+                if part not in found:
+                    inside = [b for t, b in rows if set(part) <= set(t)]
+                    found[part] = sum(inside) / len(inside) if sum(inside) >= support * n else 0
+    good = {p: c for p, c in found.items() if c >= least}
+    matches = lambda p: frozenset(i for i, (t, _) in enumerate(rows) if set(p) <= set(t))
+    return {matches(p) for p, c in good.items() if not any(set(q) < set(p) and d >= c for q, d in good.items())}
+
+
+def test_rules_against_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(500):
+        tokens = {f"t{i}" for i in range(7) if rng.random() < 0.45}
+        tokens |= {"twin"} if "t1" in tokens else set()
+        bad = {"t1", "t2"} <= tokens and rng.random() < 0.9 or "t5" in tokens and "t3" not in tokens and rng.random() < 0.5 or rng.random() < 0.1
+        rows.append((sorted(tokens), bool(bad)))
+    frame = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
+    for confidence, lift in ((0.8, 1.5), (0.5, 1.0), (0.5, 2.2)):
+        mined = {frozenset(i for i, (t, _) in enumerate(rows) if set(r["tokens"]) <= set(t)) for r in url_filter.mine_rules(frame, 0.02, confidence, lift).collect()}
+        assert mined == plain_rules(rows, 0.02, confidence, lift)
+    noise = spark.createDataFrame([(["a", f"b{i % 3}"], i % 4 == 0) for i in range(400)], "tokens array<string>, blocked boolean")
+    assert url_filter.mine_rules(noise).count() == 0 and url_filter.mine_rules(noise, 0.02, 0.1).count() == 0
+
+
+def test_late_tokens_of_long_urls_are_mined(spark):
+    """A word behind twelve others, and one of a host label without a hyphen; very long URLs."""
+    urls = [f"http://a.b.c.d.e{i % 30}.xyz/{'/'.join('uvwxyz'[: i % 7])}/k{i % 11}/l/m/n/o/p/q/{'bad' if i % 2 else 'good'}" for i in range(300)]
+    urls += ["http://casino.z.xyz/", "http://a.xyz/" + "long/" * 20_000 + "bad", "http://" + "h" * 50_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(300)], "doc_id long, quality int, toxic int")
+    verdict = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, labels).collect()}
+    assert [verdict[i] for i in range(300)] == ["block" if i % 2 else "allow" for i in range(300)]
+    assert (verdict[300], verdict[301], verdict[302]) == ("allow", "block", "allow")
+    words = spark.createDataFrame([("http://casino.z",), ("http://big-casino.z",)], "url string").select(url_filter.url_tokens(F.col("url"), *url_filter.parse_url(F.col("url"))).alias("t"))
+    assert all("w:casino" in r["t"] for r in words.collect())
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     plain = [f"w{i}" for i in range(60)]
