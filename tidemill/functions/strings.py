@@ -21,8 +21,9 @@ def strict_int(text: Column) -> Column:
 
 
 def iso_seconds(seconds: Column) -> Column:
-    """Epoch seconds as ISO-8601 in UTC; the session's time zone must be UTC."""
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """Epoch seconds as ISO-8601 in UTC, whatever the session's time zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.date_format(F.timestamp_add("SECOND", seconds, epoch), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def base64_line(data: Column | str) -> Column:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -120,9 +121,32 @@ def verify_objects(rows: DataFrame) -> DataFrame:
     is verified if its payload has the stated size, its base is verified in the same chain, its delta applies and
     its content has its id; a failure fails everything built on it.
     """
-    needed = rows.filter(F.col("payload64").isNotNull()).select(*CHAIN, "position", "size", "ts", "sha", "base_sha", "type", "payload64")
+    return _checked(rows).filter("ok is not null").drop("late")
+
+
+def _checked(rows: DataFrame) -> DataFrame:
+    """As ``verify_objects`` for all rows (``ok`` is null without a payload), with ``late``: whether a row came before its turn."""
+    needed = rows.select(*CHAIN, "position", "size", "ts", "sha", "base_sha", "type", "payload64")
     ordered = needed.repartition(*CHAIN).sortWithinPartitions(*chain_order())
-    return ordered.mapInPandas(_verify, "origin long, root string, position long, size long, ts long, sha string, ok boolean, applied boolean, error string")
+    return ordered.mapInPandas(_verify, "origin long, root string, position long, size long, ts long, sha string, ok boolean, applied boolean, error string, late boolean")
+
+
+def late_rows(delivered: DataFrame) -> DataFrame:
+    """origin, root, sha of the rows that are not in (position, size descending, time) order after the row before them in their
+    chain, as ``delivered``: for partitions that were ordered elsewhere. One streamed pass."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain = place = None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                here = (row.position, -row.size, row.ts)
+                if chain == (row.origin, row.root) and here < place:
+                    out.append((row.origin, row.root, row.sha))
+                chain, place = (row.origin, row.root), here
+            yield pd.DataFrame(out, columns=[*CHAIN, "sha"])
+
+    return delivered.select(*CHAIN, "position", "size", "ts", "sha").mapInPandas(run, "origin long, root string, sha string")
 
 
 def resolved_contents(rows: DataFrame) -> DataFrame:
@@ -167,15 +191,20 @@ def _check(row, contents: dict[str, bytes]) -> str | None:
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    chain, contents = None, {}
+    chain, place, contents = None, None, {}
     for batch in batches:
         out = []
         for row in batch.itertuples(index=False):
+            here = (row.position, -row.size, row.ts)
+            late = chain == (row.origin, row.root) and here < place
             if chain != (row.origin, row.root):
-                chain, contents = (row.origin, row.root), {}
-            error = _check(row, contents)
-            out.append((row.origin, row.root, row.position, row.size, row.ts, row.sha, error is None, error is None and row.base_sha != "-", error))
-        yield pd.DataFrame(out, columns=["origin", "root", "position", "size", "ts", "sha", "ok", "applied", "error"])
+                contents = {}
+            chain, place = (row.origin, row.root), here
+            stored = row.payload64 is not None
+            error = _check(row, contents) if stored else None
+            ok = error is None if stored else None
+            out.append((row.origin, row.root, row.position, row.size, row.ts, row.sha, ok, bool(ok) and row.base_sha != "-", error, late))
+        yield pd.DataFrame(out, columns=["origin", "root", "position", "size", "ts", "sha", "ok", "applied", "error", "late"])
 
 
 def resolve(rows: DataFrame) -> DataFrame:
@@ -198,12 +227,12 @@ def resolve(rows: DataFrame) -> DataFrame:
         F.count_if(stored & (F.col("size_text") != F.col("size").cast("string"))).alias("size_mismatch"),
     )
     first = F.min_by(F.concat_ws(": ", "sha", "error"), F.when(~F.col("ok"), F.struct(F.col("position"), -F.col("size"), F.col("ts"), F.col("sha"))))
-    checks = verify_objects(rows).groupBy(*CHAIN).agg(
-        F.count_if("ok").alias("verified"), F.count_if(~F.col("ok")).alias("failed"), F.count_if("applied").alias("deltas_applied"), first.alias("first_error")
+    checks = _checked(rows).groupBy(*CHAIN).agg(
+        F.count_if("late").alias("late"), F.count_if("ok").alias("verified"), F.count_if(~F.col("ok")).alias("failed"), F.count_if("applied").alias("deltas_applied"), first.alias("first_error")
     )
-    whole = facts.join(slots(rows), CHAIN).join(checks, CHAIN, "left").fillna(0, ["verified", "failed", "deltas_applied"])
+    whole = facts.join(slots(rows), CHAIN).join(checks, CHAIN)
     return whole.withColumns({
-        "ordered": F.lit(True),  # by construction: the rows of a chain have no other order here
+        "ordered": F.col("late") == 0,
         "biggest": F.when(F.col("patches") > 0, F.col("biggest")),
         "origin_mismatch": (F.col("origin") != 0) & (F.col("timestamped") > 0) & (F.col("origin") != F.col("oldest")),
     })
@@ -236,17 +265,31 @@ def read_counters(rows: DataFrame, drop_payload: bool = False) -> dict[str, Colu
     }
 
 
-def resolve_counters(rows: DataFrame, resolved: DataFrame) -> DataFrame:
-    """One row of totals; each is there even when it is 0."""
+def _one_row(*frames: DataFrame) -> DataFrame:
+    """The columns of frames of one row each in one row."""
+    whole = frames[0]
+    for other in frames[1:]:
+        whole = whole.unionByName(other, allowMissingColumns=True)
+    return whole.agg(*[F.max(c).alias(c) for c in whole.columns])
+
+
+def _violations(found: DataFrame, placed: DataFrame | None) -> DataFrame:
+    if placed is None:
+        placed = found.select(*CHAIN).repartitionByRange(*CHAIN).sortWithinPartitions(*CHAIN)
+    return group_order_violations(placed).agg(F.count(F.lit(1)).alias("GROUP_ORDER_VIOLATIONS"))
+
+
+def resolve_counters(rows: DataFrame, resolved: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    """One row of totals; each is there even when it is 0. ``placed``: the chains as delivered, whose order is checked."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     chains = resolved.agg(
-        F.count(F.lit(1)).alias("GROUPS"), F.lit(0).cast("long").alias("OUT_OF_ORDER_GROUPS"), F.lit(0).cast("long").alias("GROUP_ORDER_VIOLATIONS"),
+        F.count(F.lit(1)).alias("GROUPS"), F.count_if(~F.col("ordered")).alias("OUT_OF_ORDER_GROUPS"),
         total("verified").alias("VERIFIED"), total("failed").alias("FAILED"), total("deltas_applied").alias("DELTAS_APPLIED"),
         total("no_payload").alias("NO_PAYLOAD"), total("ties").alias("TIED_RECORDS"), total("timestamped").alias("TIMESTAMPED_RECORDS"),
         total("size_mismatch").alias("SIZE_MISMATCH"), total("patch_bytes").alias("PATCH_BYTES"), F.count_if("origin_mismatch").alias("ORIGIN_MISMATCH"),
     )
     read = rows.agg(*[c.alias(n) for n, c in read_counters(rows).items()])
-    return read.join(F.broadcast(chains), F.lit(True))  # one row each
+    return _one_row(read, chains, _violations(resolved, placed))
 
 
 def top_k(rows: DataFrame, k: int = DEFAULT_K, keys: list[str] = CHAIN) -> DataFrame:
@@ -303,12 +346,57 @@ def top_k_text(found: DataFrame) -> DataFrame:
     return found.select("origin", "root", line.alias("report"))
 
 
-def top_k_counters(rows: DataFrame, found: DataFrame) -> DataFrame:
+def heap_counters(rows: DataFrame, k: int = DEFAULT_K) -> DataFrame:
+    """origin, root, offered, accepted, evicted, rejected of a heap of ``k`` that is offered a chain's deltas in chain order.
+
+    A delta is accepted if it is among the ``k`` largest so far; then the smallest held goes if there are more. So
+    offered = accepted + rejected, and accepted - evicted are kept. One streamed pass that holds ``k`` deltas.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain, heap, counts = None, [], [0, 0, 0, 0]
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if chain != (row.origin, row.root):
+                    if chain:
+                        out.append((*chain, *counts))
+                    chain, heap, counts = (row.origin, row.root), [], [0, 0, 0, 0]
+                item = (row.size, -row.position, [*(-ord(c) for c in row.sha), 1])
+                counts[0] += 1
+                if len(heap) < k:
+                    heapq.heappush(heap, item)
+                    counts[1] += 1
+                elif item > heap[0]:
+                    heapq.heapreplace(heap, item)
+                    counts[1] += 1
+                    counts[2] += 1
+                else:
+                    counts[3] += 1
+            yield pd.DataFrame(out, columns=names)
+        if chain:
+            yield pd.DataFrame([(*chain, *counts)], columns=names)
+
+    names = [*CHAIN, "offered", "accepted", "evicted", "rejected"]
+    deltas = rows.filter(is_delta()).select(*CHAIN, "position", "size", "ts", "sha")
+    ordered = deltas.repartition(*CHAIN).sortWithinPartitions(*chain_order())
+    return ordered.mapInPandas(run, "origin long, root string, offered long, accepted long, evicted long, rejected long")
+
+
+def report_fields(report: Column) -> Column:
+    """A report line's ``name=value`` parts as a map."""
+    return F.str_to_map(report, F.lit(" "), F.lit("="))
+
+
+def top_k_counters(rows: DataFrame, found: DataFrame, k: int = DEFAULT_K, placed: DataFrame | None = None) -> DataFrame:
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     chains = found.agg(
-        F.count(F.lit(1)).alias("GROUPS"), F.lit(0).cast("long").alias("GROUP_ORDER_VIOLATIONS"), total("deltas").alias("DELTAS"),
+        F.count(F.lit(1)).alias("GROUPS"), total("deltas").alias("DELTAS"),
         total("kept").alias("KEPT"), total("patch_bytes").alias("PATCH_BYTES"), total("top_bytes").alias("TOP_BYTES"),
     )
     mismatch = F.count_if(~F.col("malformed") & (F.col("size_text") != F.col("size").cast("string"))).alias("SIZE_MISMATCH")
     read = rows.agg(*[c.alias(n) for n, c in read_counters(rows, drop_payload=True).items()], mismatch)
-    return read.join(F.broadcast(chains), F.lit(True))  # one row each
+    heaps = heap_counters(rows.filter(~F.col("malformed")), k).agg(*[total(c).alias(c.upper()) for c in ("accepted", "evicted", "rejected")])
+    return _one_row(read, chains, heaps, _violations(found, placed))

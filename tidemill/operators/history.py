@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.gitcodec import commit_tree, identity_time, tree_entries
-from tidemill.operators.topology import checkpointed
+from tidemill.sources.shared import checkpointed
 
 
 def object_links(objects: DataFrame) -> DataFrame:
@@ -50,16 +50,22 @@ def first_reach(links: DataFrame) -> DataFrame:
     edges = checkpointed(links.filter(F.col("time").isNull()).select("parent", "child").distinct())
     own = starts.select(F.col("parent").alias("sha"), F.col("time").alias("ts"))
     trees = starts.filter("is_tree").select(F.col("child").alias("sha"), F.col("time").alias("ts"))
-    reached = checkpointed(own.unionByName(trees).groupBy("sha").agg(F.min("ts").alias("ts")))
-    frontier = reached
+    frontier = checkpointed(own.unionByName(trees).groupBy("sha").agg(F.min("ts").alias("ts")))
+    reached = frontier
     while frontier.take(1):
         below = frontier.join(edges, F.col("sha") == F.col("parent")).groupBy("child").agg(F.min("ts").alias("offer"))
-        both = reached.join(below, F.col("sha") == F.col("child"), "full_outer").select(
-            F.coalesce("sha", "child").alias("sha"), F.least("ts", "offer").alias("ts"), (F.col("ts").isNull() | (F.col("offer") < F.col("ts"))).alias("better")
-        )
-        both = checkpointed(both)
-        reached, frontier = both.select("sha", "ts"), both.filter("better").select("sha", "ts")
-    return reached
+        known = reached.groupBy("sha").agg(F.min("ts").alias("ts"))
+        better = below.join(known, F.col("child") == F.col("sha"), "left").filter("ts is null or offer < ts")
+        frontier = checkpointed(better.select(F.col("child").alias("sha"), F.col("offer").alias("ts")))
+        reached = reached.unionByName(frontier)  # only improved rows are written
+    return reached.groupBy("sha").agg(F.min("ts").alias("ts"))
+
+
+def unparsable_commits(objects: DataFrame) -> DataFrame:
+    """One row: commits without a tree or a committer time, which ``object_links`` leaves out."""
+    commits = objects.filter(F.col("type") == "commit").select("sha", "type", "content")
+    links = object_links(commits).select(F.col("parent").alias("sha")).distinct()
+    return commits.select("sha").distinct().join(links, "sha", "left_anti").agg(F.count(F.lit(1)).alias("unparsable"))
 
 
 def with_times(rows: DataFrame, reached: DataFrame) -> DataFrame:

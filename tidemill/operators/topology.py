@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder the session names (a folder of this machine only where none is set)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-checkpoint-"))
-    return df.checkpoint(eager=True)
+from tidemill.sources.shared import checkpointed
 
 
 def close_chains(objects: DataFrame, key: str = "sha", base: str = "base_sha", max_depth: int = 1 << 20) -> DataFrame:

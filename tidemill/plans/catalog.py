@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.gitcodec import object_id
 from tidemill.functions.strings import base64_line
 from tidemill.operators import averages, chains, history, index, joins, text, topology
+from tidemill.sources.shared import checkpointed
 
 TARGETS = ["the", "of", "and"]
 TOP_K = 3
@@ -105,8 +106,9 @@ def chain_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def total_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Global rank in chain order, without one task for all rows: range partitions are ranked inside, and the counts of
     the ones before are added."""
-    rows = chain_origin(spark, sf_dir).select("sha", "origin").join(_events(spark, sf_dir), "sha")
-    placed = topology.checkpointed(chains.total_order(rows, 8).select("sha", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    rows = _events(spark, sf_dir).withColumn("origin", F.min("ts").over(Window.partitionBy("root")))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = checkpointed(chains.total_order(rows, partitions).select("sha", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
     sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b.part") < F.col("a.part"), "left")  # a row per partition
     starts = before.groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("start"))

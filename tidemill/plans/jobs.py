@@ -1,7 +1,8 @@
 """The batch jobs as functions of an input and an output path, and a command line for them.
 
 ``python -m tidemill.plans.jobs <job> [-D key=value ...] <arguments>``: any -D sets a Spark SQL option, or one of the
-chain job's own (chain.topk).
+chain job's own (chain.topk, chain.sample.size, chain.sample.seed). Verifiers write what is wrong, so an empty output is a
+pass: ``payload_verifier <rows> <out>``, ``pack_verifier <rows> <out> <pack>``, ``top_k_verifier <rows> <out> <reports> <k>``.
 """
 
 from __future__ import annotations
@@ -67,12 +68,17 @@ def delta_chains(spark: SparkSession, source: str, k: int = 0, partitions: int =
     rows = files.read_chain(spark, source)
     if k > 0:
         found = chains.top_k(rows, k)
-        lines, counters = chains.top_k_text(found), chains.top_k_counters(rows, found)
+        lines = chains.top_k_text(found)
     else:
         found = chains.resolve(rows)
-        lines, counters = chains.resolve_text(found), chains.resolve_counters(rows, found)
+        lines = chains.resolve_text(found)
+    split = chains.roots_with_several_origins(rows.filter(~F.col("malformed"))).take(1)
+    if split:
+        raise ValueError(f"root {split[0]['root']} has several origins: its chain would be cut")
     placed = lines.repartitionByRange(partitions, *chains.CHAIN) if mode == "total" else lines.repartition(partitions, "root")
-    return placed.sortWithinPartitions(*chains.CHAIN).select("root", "report"), counters
+    placed = placed.sortWithinPartitions(*chains.CHAIN)
+    counters = chains.top_k_counters(rows, found, k, placed) if k > 0 else chains.resolve_counters(rows, found, placed)
+    return placed.select("root", "report"), counters
 
 
 def topology_pre_pass(spark: SparkSession, listing: str, pack: str | None = None) -> DataFrame:
@@ -145,7 +151,14 @@ def top_k_verifier(spark: SparkSession, source: str, reports: str, k: int) -> Da
     return chains.top_k_mismatches(files.read_chain(spark, source), lines, k)
 
 
-SORTED = {"text_metrics": [0], "field_indexer": [0], "group_by_average": [0, 1], "map_side_join": [0, 1], "reduce_side_join": [0, 1]}
+def sample_bounds(spark: SparkSession, source: str, partitions: int = PARTITIONS, size: int = 2000, seed: int = 42) -> DataFrame:
+    """The boundaries (origin, root) of a seeded sample of the chains."""
+    return spark.createDataFrame(chains.partition_bounds(files.read_chain(spark, source), partitions, size, seed), "origin long, root string")
+
+
+#: Jobs whose output is one sorted file, and those whose files follow each other in order, by these columns.
+SORTED = {"group_by_average": [0, 1], "map_side_join": [0, 1], "reduce_side_join": [0, 1]}
+RANGED = {"text_metrics": [0], "field_indexer": [0]}
 
 
 def main(args: list[str]) -> int:
@@ -162,6 +175,7 @@ def main(args: list[str]) -> int:
     two = {"group_by_average": group_by_average, "map_side_join": map_side_join, "reduce_side_join": reduce_side_join,
            "timestamp_annotator": timestamp_annotator, "origin_annotator": origin_annotator}
     three = {"text_metrics": text_metrics, "field_indexer": field_indexer}
+    two["payload_verifier"] = payload_verifier
     try:
         spark = builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
         if job in two and len(rest) == 2:
@@ -170,6 +184,13 @@ def main(args: list[str]) -> int:
             found = three[job](spark, rest[0], rest[2])
         elif job == "topology_pre_pass" and len(rest) in (2, 3):
             found = topology_pre_pass(spark, rest[0], *rest[2:])
+        elif job == "pack_verifier" and len(rest) == 3:
+            found = pack_verifier(spark, rest[0], rest[2])
+        elif job == "top_k_verifier" and len(rest) == 4:
+            found = top_k_verifier(spark, rest[0], rest[2], int(rest[3]))
+        elif job == "sample_bounds" and len(rest) in (2, 3):
+            n = int(rest[2]) if len(rest) > 2 else PARTITIONS
+            found = sample_bounds(spark, rest[0], n, int(own.get("chain.sample.size", 2000)), int(own.get("chain.sample.seed", 42)))
         elif job == "delta_chains" and 2 <= len(rest) <= 4:
             n, mode = int(rest[2]) if len(rest) > 2 else PARTITIONS, rest[3] if len(rest) > 3 else "total"
             found, counters = delta_chains(spark, rest[0], int(own.get("chain.topk", 0)), n, mode)
@@ -181,6 +202,9 @@ def main(args: list[str]) -> int:
     except ValueError as e:
         print(e, file=sys.stderr)
         return 2
+    if job in RANGED:
+        keys = [found.columns[i] for i in RANGED[job]]
+        found = found.repartitionByRange(*keys).sortWithinPartitions(*keys)
     write_tsv(found, rest[1], [found.columns[i] for i in SORTED[job]] if job in SORTED else None)
     return 0
 
