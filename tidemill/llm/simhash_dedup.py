@@ -425,11 +425,17 @@ def _confirmed(pairs: DataFrame, prints: DataFrame, docs: DataFrame, text_col: s
     return both.filter(shared / (F.size("of_a") + F.size("of_b") - shared) >= NEAR_LEAST).select("a", "b")
 
 
-def _stars(keyed: DataFrame, prints: DataFrame, fields: list[str]) -> DataFrame:
+def _shared_bands(prints: DataFrame) -> DataFrame:
+    """(key, node, hub) of the bands that several texts share; ``hub`` is the smallest text of the band."""
+    keyed = prints.select("node", F.explode("bands").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("key", "hub")
+    return keyed.join(hubs, "key").select("key", "node", "hub")
+
+
+def _stars(shared: DataFrame, prints: DataFrame, fields: list[str]) -> DataFrame:
     """Candidate pairs (a, b) of each text and the smallest one of each of its bands: at most NEAR_BANDS for a text, and in a large
     group mostly the same one in all bands."""
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("key", "hub")
-    pairs = keyed.join(hubs, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     sketch = lambda name: prints.select(F.col("node").alias(name), F.struct(*fields).alias(f"of_{name}"))
     apart = sum((F.bit_count(F.col(f"of_a.{w}").bitwiseXOR(F.col(f"of_b.{w}"))) for w in fields), F.lit(0))
     return pairs.join(sketch("a"), "a").join(sketch("b"), "b").filter(apart <= NEAR_RADIUS).select("a", "b")
@@ -448,10 +454,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("text_key"), sketches(F.col(text_col)).alias("fp"))
     base = durable(base.select("id", "text_key", "fp.*"))
     prints = durable(base.groupBy("node").agg(_best(), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in [*fields, "bands"]]))
-    keyed = prints.select("node", F.explode("bands").alias("key"))
+    keyed = durable(_shared_bands(prints))
     links = durable(_confirmed(durable(_stars(keyed, prints, fields)), prints, docs, text_col))
     roots = connected_components(links)
-    cells, k = durable(_near_cells(keyed, roots, shard)), first
+    cells, k = durable(_near_cells(keyed.drop("hub"), roots, shard)), first
     while not cells.isEmpty():
         members = _labelled(cells.join(prints.select("node", *fields), "node"), roots).select("key", "i", "j", "node", "side", "label", *fields)
         spread = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
