@@ -181,6 +181,27 @@ def test_near_copies_in_rounds(spark, shard, first):
     assert found == {i: label.index(x) for i, x in enumerate(label)} and len(set(label)) > 1
 
 
+def test_marks_tell_near_texts_from_far_ones(spark, monkeypatch):
+    """Pairs of 0.8 agree on enough marks; a group of about 0.5 with one another gives next to no pairs to compare."""
+    for a, b in pairs_of_texts(random.Random(6), 100, 49):
+        both = [simhash_dedup.marks(simhash_dedup.minimal_hashes(simhash_dedup.shingle_set(t))).view(np.uint8) for t in (a, b)]
+        assert (both[0] == both[1]).sum() >= simhash_dedup.NEAR_MARKS_LEAST
+    rng = random.Random(6)
+    base = [str(rng.random()) for _ in range(150)]
+    texts = []
+    for _ in range(60):
+        other = list(base)
+        for at in rng.sample(range(0, 150, 5), 9):
+            other[at] = str(rng.random())
+        texts.append(" ".join(other))
+    compared = []
+    plain = simhash_dedup._confirmed
+    monkeypatch.setattr(simhash_dedup, "_confirmed", lambda pairs, *rest: compared.append(pairs.count()) or plain(pairs, *rest))
+    found = simhash_dedup.near_copies(frame(spark, list(enumerate(texts))))
+    assert found.select("component_id").distinct().count() == 60
+    assert sum(compared[1:]) <= 60 < 60 * 59 // 2  # after the stars
+
+
 @pytest.mark.parametrize("shard", [8, 64, 4096])
 def test_links_against_brute_force(spark, shard):
     rng = random.Random(shard)

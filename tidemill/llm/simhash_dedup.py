@@ -25,7 +25,8 @@ STEP = 1 << 20
 SHARD = 4096
 
 # Near copies: sets of five-word shingles of a Jaccard similarity of NEAR_LEAST and more. Candidates share a band of
-# minimal hashes and lie within NEAR_RADIUS of 256 SimHash bits; every link is then confirmed on the sets themselves.
+# minimal hashes, lie within NEAR_RADIUS of 256 SimHash bits and, unless one is the smallest text of a band, agree on
+# NEAR_MARKS_LEAST of NEAR_MARKS minimal hashes; every link is then confirmed on the sets themselves.
 NEAR_WORDS = 5
 NEAR_LEAST = 0.8
 NEAR_FIELDS = 4
@@ -34,12 +35,18 @@ NEAR_BANDS = 20
 NEAR_ROWS = 4
 #: At 0.8 a bit differs with probability 0.15 (39 of 256; up to 0.19 or 48 for sets of a few shingles, deviation 6).
 NEAR_RADIUS = 80
+#: A mark is a byte of a minimal hash. A pair of similarity 0.8 agrees on under 176 of 256 with probability 0.000007 (one of 0.6, by
+#: chance, on 176 and more with 0.003).
+NEAR_MARKS = 256
+NEAR_MARKS_LEAST = 176
+#: Pairs whose marks are compared at once.
+MARK_STEP = 1 << 15
 #: Nearest candidates of a text compared in the first round of a cell; each further round of it takes NEAR_GROWTH times as many.
 NEAR_FIRST = 2
 NEAR_GROWTH = 8
 #: Texts whose shingle sets are made at once.
 SET_TEXTS = 128
-_factors = np.random.default_rng(SEED).integers(0, 1 << 63, NEAR_BANDS * NEAR_ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_factors = np.random.default_rng(SEED).integers(0, 1 << 63, NEAR_MARKS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -293,12 +300,23 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(1, np.uint64)
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """Hashes of the bands of minimal hashes: two sets agree on a minimal hash with their Jaccard similarity."""
+def minimal_hashes(shingles: np.ndarray) -> np.ndarray:
+    """NEAR_MARKS minimal hashes: two sets agree on each with their Jaccard similarity."""
     least = np.full(len(_factors), np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(shingles), CHUNK >> 3):
-        least = np.minimum(least, (shingles[None, start : start + (CHUNK >> 3)] * _factors[:, None]).min(axis=1))
-    return [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(NEAR_BANDS, NEAR_ROWS))]
+    for start in range(0, len(shingles), CHUNK >> 6):
+        least = np.minimum(least, (shingles[None, start : start + (CHUNK >> 6)] * _factors[:, None]).min(axis=1))
+    return least
+
+
+def band_keys(least: np.ndarray) -> list[int]:
+    """Hashes of the bands, each of NEAR_ROWS minimal hashes."""
+    bands = least[: NEAR_BANDS * NEAR_ROWS].reshape(NEAR_BANDS, NEAR_ROWS)
+    return [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(bands)]
+
+
+def marks(least: np.ndarray) -> np.ndarray:
+    """One byte of each minimal hash, eight in an unsigned long."""
+    return (least & np.uint64(255)).astype(np.uint8).view(np.uint64)
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,19 +329,27 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _near_sketches(texts: pd.Series) -> pd.DataFrame:
-    node, prints, bands = [], [], []
+    node, prints, bands, marked = [], [], [], []
     for text in texts:
         shingles = shingle_set(text)
         node.append(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
         prints.append(simhash_fields([shingles], NEAR_FIELDS))
-        bands.append(band_keys(shingles))
+        least = minimal_hashes(shingles)
+        bands.append(band_keys(least))
+        marked.append(marks(least))
     signed = lambda x, *shape: np.array(x, np.uint64).reshape(len(texts), *shape).view(np.int64)
     prints = signed(prints, NEAR_FIELDS)
     columns = {f"w{i}": prints[:, i] for i in range(NEAR_FIELDS)}
-    return pd.DataFrame({"node": signed(node), **columns, "bands": list(signed(bands, NEAR_BANDS))})
+    return pd.DataFrame({"node": signed(node), **columns, "bands": list(signed(bands, NEAR_BANDS)), "marks": list(signed(marked, NEAR_MARKS // 8))})
 
 
-def _nearest(nodes: np.ndarray, values: np.ndarray, label: np.ndarray, side: np.ndarray, k: int) -> tuple[list[np.ndarray], bool]:
+def _agreeing(marked: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """On how many marks the texts a[i] and b[i] agree."""
+    found = [(marked[a[at : at + MARK_STEP]] == marked[b[at : at + MARK_STEP]]).sum(axis=1) for at in range(0, len(a), MARK_STEP)]
+    return np.concatenate([np.zeros(0, np.int64), *found])
+
+
+def _nearest(nodes: np.ndarray, values: np.ndarray, marked: np.ndarray, label: np.ndarray, side: np.ndarray, k: int) -> tuple[list[np.ndarray], bool]:
     """Pairs of each text of a cell and its ``k`` nearest candidates of other labels, and whether any text has more.
 
     ``side``: 0 for texts asked about only, 1 for those compared with each other and with these. Texts of the label that most
@@ -340,13 +366,15 @@ def _nearest(nodes: np.ndarray, values: np.ndarray, label: np.ndarray, side: np.
         step = max(1, (1 << 20) // max(1, len(right)))
         for start in range(0, len(left), step):
             part = left[start : start + step]
-            apart = distance(values[part][:, None], values[right][None, :]).astype(np.int32)
-            apart[(apart > NEAR_RADIUS) | (label[part][:, None] == label[right][None, :])] = 1 << 15
-            near = apart < 1 << 15
+            near = (distance(values[part][:, None], values[right][None, :]) <= NEAR_RADIUS) & (label[part][:, None] != label[right][None, :])
+            i, j = np.nonzero(near)
+            apart = np.full(near.shape, 1 << 15, np.int32)
+            apart[i, j] = NEAR_MARKS - _agreeing(marked, part[i], right[j])
+            near = apart <= NEAR_MARKS - NEAR_MARKS_LEAST
             if (near.sum(axis=1) > k).any():
                 more = True
                 # ties in an order of their own for each text, so that no text is the nearest of all
-                order = apart * (1 << 15) + ((nodes[part][:, None] ^ nodes[right][None, :]) & ((1 << 15) - 1)).astype(np.int32)
+                order = np.where(near, apart, 1 << 15) * (1 << 15) + ((nodes[part][:, None] ^ nodes[right][None, :]) & ((1 << 15) - 1)).astype(np.int32)
                 top = np.argpartition(order, k - 1, axis=1)[:, :k]
                 chosen = np.zeros_like(near)
                 np.put_along_axis(chosen, top, True, axis=1)
@@ -373,10 +401,11 @@ def _near_pairs(k: int):
             held = [] if flush else [data[:, start[-1] :]]
             if not flush:
                 start, stop = start[:-1], stop[:-1]
-            values = np.ascontiguousarray(data[6:].T).view(np.uint64)
+            values = np.ascontiguousarray(data[6 : 6 + NEAR_FIELDS].T).view(np.uint64)
+            marked = np.ascontiguousarray(data[6 + NEAR_FIELDS :].T).view(np.uint8)
             found, unfinished = [np.zeros((2, 0), np.int64)], []
             for s, e in zip(start.tolist(), stop.tolist(), strict=True):
-                pairs, more = _nearest(data[3, s:e], values[s:e], data[5, s:e], data[4, s:e], k)
+                pairs, more = _nearest(data[3, s:e], values[s:e], marked[s:e], data[5, s:e], data[4, s:e], k)
                 found += pairs
                 if more:
                     unfinished.append(s)
@@ -450,16 +479,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every candidate pair is either compared or inside a component.
     """
     fields = [f"w{i}" for i in range(NEAR_FIELDS)]
-    sketches = F.pandas_udf(_near_sketches, "node long, " + ", ".join(f"{w} long" for w in fields) + ", bands array<long>")
+    sketches = F.pandas_udf(_near_sketches, "node long, " + ", ".join(f"{w} long" for w in fields) + ", bands array<long>, marks array<long>")
+    marked = [F.col("marks")[i].alias(f"m{i}") for i in range(NEAR_MARKS // 8)]
     base = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("text_key"), sketches(F.col(text_col)).alias("fp"))
     base = durable(base.select("id", "text_key", "fp.*"))
-    prints = durable(base.groupBy("node").agg(_best(), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in [*fields, "bands"]]))
+    prints = durable(base.groupBy("node").agg(_best(), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in [*fields, "bands", "marks"]]))
     keyed = durable(_shared_bands(prints))
     links = durable(_confirmed(durable(_stars(keyed, prints, fields)), prints, docs, text_col))
     roots = connected_components(links)
     cells, k = durable(_near_cells(keyed.drop("hub"), roots, shard)), first
     while not cells.isEmpty():
-        members = _labelled(cells.join(prints.select("node", *fields), "node"), roots).select("key", "i", "j", "node", "side", "label", *fields)
+        members = _labelled(cells.join(prints.select("node", *fields, "marks"), "node"), roots).select("key", "i", "j", "node", "side", "label", *fields, *marked)
         spread = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
         found = durable(spread.mapInArrow(_near_pairs(k), "a long, b long, key long, i long, j long"))
         fresh = _confirmed(durable(found.filter("a is not null").select("a", "b").distinct()), prints, docs, text_col)
