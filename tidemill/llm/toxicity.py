@@ -200,10 +200,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy("label_id")
         .agg(F.min("row").alias("row"))
         .select("label_id", "row.*")
-        .toPandas()
-        .sort_values("label_id")
+        .toArrow()
+        .sort_by("label_id")
     )
-    return fit([np.asarray(t, np.int64) for t in rows["terms"]], rows["toxic"].to_numpy(np.float64))
+    # views of one buffer: no object for each term on the driver
+    terms = rows["terms"].combine_chunks()
+    flat, edge = terms.values.to_numpy(), terms.offsets.to_numpy()
+    return fit([flat[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)], rows["toxic"].to_numpy().astype(np.float64))
 
 
 def toxicity_scores(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
