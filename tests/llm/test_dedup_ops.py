@@ -298,3 +298,31 @@ def test_bm25(spark):
         want = [(k + 1, i) for k, (_, i) in enumerate(sorted(scores)[:5])]
         assert [(k, i) for k, i, _ in sorted(found.get(q, []))] == want
     assert bm25_search.bm25_top_k(docs.limit(0), docs).count() == 0
+
+
+@pytest.mark.parametrize("bounded", [True, False])
+def test_frequent_terms_are_not_walked(bounded, monkeypatch):
+    """Postings of terms of many documents are summed by matrix products; scores and ties are those of the plain sums."""
+    rng = np.random.default_rng(8)
+    docs, words, k = 1000, 60, 7
+    tf = np.where(rng.random((docs, words)) < np.r_[np.full(20, 0.6), np.full(40, 0.03)], rng.integers(1, 4, (docs, words)), 0)
+    tf[500:, :5] = 0  # blocks without some of the terms
+    terms, idf = np.arange(words) * 7, rng.random(words) + 0.1
+    rows, columns = np.nonzero(tf)
+    ids, sizes = rng.permutation(docs), tf.sum(axis=1).astype(float)
+    by_id = np.argsort(ids)
+    index = bm25_search.ShardIndex(ids, sizes, (tf > 0).sum(axis=1), terms[columns], tf[rows, columns], sizes.mean(), terms, idf)
+    norm = bm25_search.K1 * (1 - bm25_search.B + bm25_search.B * sizes / sizes.mean())
+    units = np.floor(idf * (tf * (bm25_search.K1 + 1) / (tf + norm[:, None])) * bm25_search.UNIT + 0.5)[by_id]
+    walked = []
+    plain = bm25_search.ShardIndex._sparse_scores
+    monkeypatch.setattr(bm25_search.ShardIndex, "_sparse_scores", lambda self, first, last, *rest: walked.append(int((last - first).sum())) or plain(self, first, last, *rest))
+    monkeypatch.setattr(bm25_search.Bounds, "wanted", lambda self: bounded)
+    for asked in (np.arange(words), np.arange(3), np.arange(30, 33), np.array([2, 40]), np.array([50])):
+        times = rng.integers(1, 4, len(asked)).astype(float)
+        scores = units[:, asked] @ times
+        want = sorted((-s, i) for i, s in enumerate(scores.tolist()) if s)[:k]
+        walked.clear()
+        found, got = index.search(asked, times, k, (np.zeros(0, np.int64), np.zeros(0)))
+        assert [(-s, i) for i, s in zip(found.tolist(), got.tolist(), strict=True)] == want
+        assert sum(walked) <= (tf[:, asked[asked >= 20]] > 0).sum()
