@@ -326,3 +326,64 @@ def test_frequent_terms_are_not_walked(bounded, monkeypatch):
         found, got = index.search(asked, times, k, (np.zeros(0, np.int64), np.zeros(0)))
         assert [(-s, i) for i, s in zip(found.tolist(), got.tolist(), strict=True)] == want
         assert sum(walked) <= (tf[:, asked[asked >= 20]] > 0).sum()
+
+
+def test_near_candidates_come_from_trees(monkeypatch):
+    """A cell's candidates are those its Burkhard-Keller tree finds: the k nearest of other labels, in both directions."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 62, (1, 4)).astype(np.uint64)
+    values = np.repeat(base, 60, axis=0)
+    values[20:] ^= np.uint64(1) << rng.integers(0, 62, (40, 4)).astype(np.uint64)
+    values[50:] = rng.integers(0, 1 << 62, (10, 4)).astype(np.uint64)  # far from all others
+    nodes, label = rng.permutation(60).astype(np.int64), rng.integers(0, 30, 60)
+    marked = np.zeros((60, simhash_dedup.NEAR_MARKS), np.uint8)
+    asked = []
+    plain = simhash_dedup.BkForest.link
+    monkeypatch.setattr(simhash_dedup.BkForest, "link", lambda self, queries, *rest: asked.append(len(queries)) or plain(self, queries, *rest))
+    names, sizes = np.unique(label, return_counts=True)
+    most = names[np.argmax(sizes)]
+    for side in (np.ones(60, np.int64), (np.arange(60) % 3 > 0).astype(np.int64)):
+        meet = lambda i, j: side.all() or side[i] != side[j]
+        near = [(i, j) for i in range(60) for j in range(60) if i != j and meet(i, j) and label[i] != label[j] and simhash_dedup.distance(values[i], values[j]) <= simhash_dedup.NEAR_RADIUS]
+        asked.clear()
+        pairs, more = simhash_dedup._nearest(nodes, values, marked, label, side, 100)
+        got = {tuple(p) for x in pairs for p in x.T.tolist()}
+        assert got == {tuple(sorted((nodes[i], nodes[j]))) for i, j in near} and not more
+        assert sum(asked) == (label != most).sum()
+        pairs, more = simhash_dedup._nearest(nodes, values, marked, label, side, 3)
+        few = {tuple(p) for x in pairs for p in x.T.tolist()}
+        assert more and few < got and all(sum(nodes[i] in p for p in few) >= 3 for i in range(50) if label[i] != most)
+
+
+def test_stars_of_bands_cut_into_trees(spark):
+    """Each part of a large band has the band's smallest text as its root; all texts of a group are stars of it."""
+    fields = [f"w{i}" for i in range(simhash_dedup.NEAR_FIELDS)]
+    rows = [(n, 1 << n % 60, 0, 0, 0, [7]) for n in range(-20, 40)] + [(100, 0, -1, -1, -1, [7])]
+    prints = spark.createDataFrame(rows, "node long, " + ", ".join(f"{w} long" for w in fields) + ", bands array<long>")
+    found = simhash_dedup._stars(simhash_dedup._shared_bands(prints), prints, fields, 8).collect()
+    assert sorted(tuple(r) for r in found) == [(-20, n) for n in range(-19, 40)]
+
+
+def test_release_removes_shuffle_files(spark, monkeypatch):
+    from tidemill.llm import runtime
+
+    asked = []
+    monkeypatch.setattr(type(spark.sparkContext._jvm.System), "gc", lambda self: asked.append(1), raising=False)
+    monkeypatch.setattr(runtime, "RELEASE_S", 0.0)
+    runtime.durable(spark.range(3))
+    runtime.durable(spark.range(3))
+    monkeypatch.setattr(runtime, "RELEASE_S", 1e9)
+    runtime.durable(spark.range(3))
+    assert len(asked) == 2
+
+
+@pytest.mark.parametrize("task_edges", [7, 1000])
+def test_components_joined_in_tasks(spark, task_edges):
+    rng = random.Random(21)
+    edges = [(i + 1, i) for i in range(40)] + [(rng.randrange(-90, -50), rng.randrange(-90, -50)) for _ in range(30)] + [(300, 300), (5, -1)]
+    found = graph.connected_components(spark.createDataFrame(edges, "a long, b long"), task_edges).collect()
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert sorted((r["a"], r["b"]) for r in found) == sorted((a, b) for a, b in label.items() if a != b)

@@ -24,8 +24,8 @@ STEP = 1 << 20
 #: Fingerprints of one block value in one tree; larger buckets are split into several trees.
 SHARD = 4096
 
-# Near copies: sets of five-word shingles of a Jaccard similarity of NEAR_LEAST and more. Candidates share a band of
-# minimal hashes, lie within NEAR_RADIUS of 256 SimHash bits and, unless one is the smallest text of a band, agree on
+# Near copies: sets of five-word shingles of a Jaccard similarity of NEAR_LEAST and more. Candidates are found within NEAR_RADIUS
+# of 256 SimHash bits in the Burkhard-Keller tree of a band of minimal hashes and, unless they are the tree's star, agree on
 # NEAR_MARKS_LEAST of NEAR_MARKS minimal hashes; every link is then confirmed on the sets themselves.
 NEAR_WORDS = 5
 NEAR_LEAST = 0.8
@@ -352,6 +352,7 @@ def _agreeing(marked: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _nearest(nodes: np.ndarray, values: np.ndarray, marked: np.ndarray, label: np.ndarray, side: np.ndarray, k: int) -> tuple[list[np.ndarray], bool]:
     """Pairs of each text of a cell and its ``k`` nearest candidates of other labels, and whether any text has more.
 
+    Candidates are what a text finds within NEAR_RADIUS in the Burkhard-Keller tree of the cell's fingerprints.
     ``side``: 0 for texts asked about only, 1 for those compared with each other and with these. Texts of the label that most
     have do not ask: of two texts of different labels one at least does.
     """
@@ -363,24 +364,25 @@ def _nearest(nodes: np.ndarray, values: np.ndarray, marked: np.ndarray, label: n
     # both directions: a text of either side has its own nearest ones
     for left, right in [(asked, held)] if asked is held else [(asked, held), (held, asked)]:
         left = left[asks[left]]
-        step = max(1, (1 << 20) // max(1, len(right)))
+        if not len(left) or not len(right):
+            continue
+        forest = BkForest(values[right], np.zeros(len(right), np.int64))
+        step = max(1, STEP // len(right))
         for start in range(0, len(left), step):
             part = left[start : start + step]
-            near = (distance(values[part][:, None], values[right][None, :]) <= NEAR_RADIUS) & (label[part][:, None] != label[right][None, :])
-            i, j = np.nonzero(near)
-            apart = np.full(near.shape, 1 << 15, np.int32)
-            apart[i, j] = NEAR_MARKS - _agreeing(marked, part[i], right[j])
-            near = apart <= NEAR_MARKS - NEAR_MARKS_LEAST
-            if (near.sum(axis=1) > k).any():
-                more = True
-                # ties in an order of their own for each text, so that no text is the nearest of all
-                order = np.where(near, apart, 1 << 15) * (1 << 15) + ((nodes[part][:, None] ^ nodes[right][None, :]) & ((1 << 15) - 1)).astype(np.int32)
-                top = np.argpartition(order, k - 1, axis=1)[:, :k]
-                chosen = np.zeros_like(near)
-                np.put_along_axis(chosen, top, True, axis=1)
-                near &= chosen
-            i, j = np.nonzero(near)
-            a, b = nodes[part[i]], nodes[right[j]]
+            found = list(forest.link(values[part], np.zeros(len(part), np.int64), NEAR_RADIUS))
+            j, i = (np.concatenate(x) for x in zip(*found, strict=True))
+            other = label[part[i]] != label[right[j]]
+            i, j = i[other], j[other]
+            apart = NEAR_MARKS - _agreeing(marked, part[i], right[j])
+            close = apart <= NEAR_MARKS - NEAR_MARKS_LEAST
+            i, j, apart = i[close], j[close], apart[close]
+            # ties in an order of their own for each text, so that no text is the nearest of all
+            order = np.lexsort(((nodes[part[i]] ^ nodes[right[j]]) & ((1 << 15) - 1), apart, i))
+            i, j = i[order], j[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            more |= bool((rank >= k).any())
+            a, b = nodes[part[i[rank < k]]], nodes[right[j[rank < k]]]
             pairs.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
     return pairs, more
 
@@ -455,28 +457,34 @@ def _confirmed(pairs: DataFrame, prints: DataFrame, docs: DataFrame, text_col: s
 
 
 def _shared_bands(prints: DataFrame) -> DataFrame:
-    """(key, node, hub) of the bands that several texts share; ``hub`` is the smallest text of the band."""
+    """(key, node, hub, count) of the bands that several texts share; ``hub`` is the smallest text of the band."""
     keyed = prints.select("node", F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("key", "hub")
-    return keyed.join(hubs, "key").select("key", "node", "hub")
+    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("count"))
+    return keyed.join(hubs.filter("hub < last").select("key", "hub", "count"), "key").select("key", "node", "hub", "count")
 
 
-def _stars(shared: DataFrame, prints: DataFrame, fields: list[str]) -> DataFrame:
-    """Candidate pairs (a, b) of each text and the smallest one of each of its bands: at most NEAR_BANDS for a text, and in a large
-    group mostly the same one in all bands."""
-    pairs = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    sketch = lambda name: prints.select(F.col("node").alias(name), F.struct(*fields).alias(f"of_{name}"))
-    apart = sum((F.bit_count(F.col(f"of_a.{w}").bitwiseXOR(F.col(f"of_b.{w}"))) for w in fields), F.lit(0))
-    return pairs.join(sketch("a"), "a").join(sketch("b"), "b").filter(apart <= NEAR_RADIUS).select("a", "b")
+def _stars(shared: DataFrame, prints: DataFrame, fields: list[str], shard: int) -> DataFrame:
+    """Candidate pairs (a, b) as stars of the Burkhard-Keller trees of the bands: each text and the first text of its band that links
+    within NEAR_RADIUS lead to. At most NEAR_BANDS for a text, and in a large group mostly the same one in all bands.
+
+    A band of over ``shard`` texts is cut into several trees, each with the smallest text of the band as its root.
+    """
+    parts = F.ceil(F.col("count") / shard)
+    own = F.array(F.pmod(F.xxhash64("node", F.lit(1)), parts))
+    placed = shared.select("key", "node", F.explode(F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(own)).alias("i"))
+    cells = placed.join(prints.select("node", *fields), "node").select("key", "i", F.col("i").alias("j"), "node", F.lit(1).cast("long").alias("in_tree"), *fields)
+    spread = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return spread.mapInArrow(_link_cells(NEAR_RADIUS), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD, first: int = NEAR_FIRST) -> DataFrame:
     """Components of texts whose sets of five-word shingles have a similarity of 0.8 and more, in rows as of ``simhash_components``.
 
-    Texts with equal sets are one node. Each text is first compared with the smallest text of each of its bands, which joins
-    most groups by as many comparisons as they have members. Only bands whose texts are then still of several components
-    go on: their texts are compared with their ``first`` nearest candidates of other components, then with more, until
-    every candidate pair is either compared or inside a component.
+    Texts with equal sets are one node. All candidates come from Burkhard-Keller trees over the SimHash fingerprints of the texts
+    of a band. A tree is first asked for stars, mostly each text and the smallest of its band, which joins most groups by as many
+    comparisons as they have members. Only bands whose texts are then still of several components go on: their texts
+    are compared with their ``first`` nearest candidates of other components, then with more, until every candidate
+    pair is either compared or inside a component.
     """
     fields = [f"w{i}" for i in range(NEAR_FIELDS)]
     sketches = F.pandas_udf(_near_sketches, "node long, " + ", ".join(f"{w} long" for w in fields) + ", bands array<long>, marks array<long>")
@@ -485,16 +493,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = durable(base.select("id", "text_key", "fp.*"))
     prints = durable(base.groupBy("node").agg(_best(), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in [*fields, "bands", "marks"]]))
     keyed = durable(_shared_bands(prints))
-    links = durable(_confirmed(durable(_stars(keyed, prints, fields)), prints, docs, text_col))
-    roots = connected_components(links)
-    cells, k = durable(_near_cells(keyed.drop("hub"), roots, shard)), first
+    roots = connected_components(_confirmed(durable(_stars(keyed, prints, fields, shard)), prints, docs, text_col))
+    cells, k = durable(_near_cells(keyed.select("key", "node"), roots, shard)), first
     while not cells.isEmpty():
         members = _labelled(cells.join(prints.select("node", *fields, "marks"), "node"), roots).select("key", "i", "j", "node", "side", "label", *fields, *marked)
         spread = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
         found = durable(spread.mapInArrow(_near_pairs(k), "a long, b long, key long, i long, j long"))
         fresh = _confirmed(durable(found.filter("a is not null").select("a", "b").distinct()), prints, docs, text_col)
-        links = durable(links.unionByName(fresh))
-        roots = connected_components(links)
+        roots = connected_components(roots.unionByName(fresh))
         unfinished = found.filter("a is null").select("key", "i", "j")
         cells = durable(cells.join(unfinished, ["key", "i", "j"], "left_semi"))
         k *= NEAR_GROWTH
