@@ -202,6 +202,45 @@ def test_marks_tell_near_texts_from_far_ones(spark, monkeypatch):
     assert sum(compared[1:]) <= 60 < 60 * 59 // 2  # after the stars
 
 
+def edited(rng, base, edits):
+    """``base`` with other words at ``edits`` places that share no shingle."""
+    other = list(base)
+    for at in rng.sample(range(4, len(base) - 4, 5), edits):
+        other[at] = str(rng.random())
+    return " ".join(other)
+
+
+def test_large_group_just_below_the_threshold(spark, monkeypatch):
+    """A group with 0.73 to 0.78 among its texts gives next to no pairs to compare after the stars; links in it are found."""
+    rng = random.Random(16)
+    base = [str(rng.random()) for _ in range(180)]
+    texts = [edited(rng, base, 3) for _ in range(60)]
+    texts += [texts[7] + " more", "first " + texts[30]]
+    assert all(0.7 < plain_similarity(a, b) < 0.8 for i, a in enumerate(texts[:60]) for b in texts[:i])
+    compared = []
+    plain = simhash_dedup._confirmed
+    monkeypatch.setattr(simhash_dedup, "_confirmed", lambda pairs, *rest: compared.append(pairs.count()) or plain(pairs, *rest))
+    found = {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_copies(frame(spark, list(enumerate(texts)))).collect()}
+    assert found == {i: i for i in range(60)} | {60: 7, 61: 30}
+    assert sum(compared[1:]) <= 60 < 60 * 59 // 2
+
+
+def test_parity_maps_exclude_no_link():
+    rng = random.Random(17)
+    sets = []
+    for size in (1, 2, 9, 45, 150, 600, 3000):
+        for _ in range(40):
+            base = [rng.getrandbits(64) for _ in range(size)]
+            apart = rng.randint(0, -(-size // 3))
+            sets += [np.unique(np.array(x, np.uint64)) for x in (base, base[apart:] + [rng.getrandbits(64) for _ in range(rng.randint(0, apart))])]
+    odd, sizes = np.stack([simhash_dedup.parity_map(x) if len(x) else np.zeros(simhash_dedup.NEAR_ODD // 64, np.uint64) for x in sets]), np.array(list(map(len, sets)))
+    a = np.arange(0, len(sets), 2)
+    shared = np.array([len(np.intersect1d(sets[i], sets[i + 1])) for i in a])
+    similarity = shared / (sizes[a] + sizes[a + 1] - shared)
+    allowed = simhash_dedup._may_link(odd, sizes, a, a + 1)
+    assert allowed[similarity >= 0.8].all() and (similarity == 0.8).any() and not allowed[similarity < 0.7].any()
+
+
 @pytest.mark.parametrize("shard", [8, 64, 4096])
 def test_links_against_brute_force(spark, shard):
     rng = random.Random(shard)

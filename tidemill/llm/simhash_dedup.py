@@ -25,8 +25,9 @@ STEP = 1 << 20
 SHARD = 4096
 
 # Near copies: sets of five-word shingles of a Jaccard similarity of NEAR_LEAST and more. Candidates are found within NEAR_RADIUS
-# of 256 SimHash bits in the Burkhard-Keller tree of a band of minimal hashes and, unless they are the tree's star, agree on
-# NEAR_MARKS_LEAST of NEAR_MARKS minimal hashes; every link is then confirmed on the sets themselves.
+# of 256 SimHash bits in the Burkhard-Keller tree of a band of minimal hashes and, unless they are the tree's star, have parity
+# maps that allow for the similarity and agree on NEAR_MARKS_LEAST of NEAR_MARKS minimal hashes; every link is then confirmed
+# on the sets themselves.
 NEAR_WORDS = 5
 NEAR_LEAST = 0.8
 NEAR_FIELDS = 4
@@ -39,7 +40,11 @@ NEAR_RADIUS = 80
 #: chance, on 176 and more with 0.003).
 NEAR_MARKS = 256
 NEAR_MARKS_LEAST = 176
-#: Pairs whose marks are compared at once.
+#: Bits of a parity map. Maps differ in at most as many bits as shingles are in one set only, so what they exclude is no link.
+NEAR_ODD = 2048
+#: Share of the sizes of two sets of similarity NEAR_LEAST that is in one of them only; a little more for rounding.
+NEAR_APART, NEAR_ROUNDING = (1 - NEAR_LEAST) / (1 + NEAR_LEAST), 1e-3
+#: Pairs whose marks or parity maps are compared at once.
 MARK_STEP = 1 << 15
 #: Nearest candidates of a text compared in the first round of a cell; each further round of it takes NEAR_GROWTH times as many.
 NEAR_FIRST = 2
@@ -300,11 +305,11 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(1, np.uint64)
 
 
-def minimal_hashes(shingles: np.ndarray) -> np.ndarray:
-    """NEAR_MARKS minimal hashes: two sets agree on each with their Jaccard similarity."""
-    least = np.full(len(_factors), np.iinfo(np.uint64).max, np.uint64)
+def minimal_hashes(shingles: np.ndarray, count: int = NEAR_MARKS) -> np.ndarray:
+    """``count`` minimal hashes: two sets agree on each with their Jaccard similarity."""
+    least = np.full(count, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(shingles), CHUNK >> 6):
-        least = np.minimum(least, (shingles[None, start : start + (CHUNK >> 6)] * _factors[:, None]).min(axis=1))
+        least = np.minimum(least, (shingles[None, start : start + (CHUNK >> 6)] * _factors[:count, None]).min(axis=1))
     return least
 
 
@@ -319,28 +324,34 @@ def marks(least: np.ndarray) -> np.ndarray:
     return (least & np.uint64(255)).astype(np.uint8).view(np.uint64)
 
 
+def parity_map(shingles: np.ndarray) -> np.ndarray:
+    """A bit is set if an odd number of shingles falls on it; 64 bits in an unsigned long."""
+    counts = np.bincount((shingles % np.uint64(NEAR_ODD)).astype(np.int64), minlength=NEAR_ODD)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle sets of (node, text), a few texts at once: a set takes more memory than its text."""
+    """Shingle sets, marks and parity maps of (text, ...), a few texts at once: a set takes more memory than its text."""
     for batch in batches:
         for start in range(0, batch.num_rows, SET_TEXTS):
             part = batch.slice(start, SET_TEXTS)
-            sets = [shingle_set(t).view(np.int64) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+            sets = [shingle_set(t) for t in part.column(0).to_pylist()]
+            made = [sets, [marks(minimal_hashes(x)) for x in sets], [parity_map(x) for x in sets]]
+            columns = [pa.array([x.view(np.int64) for x in column], pa.list_(pa.int64())) for column in made]
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], [*part.schema.names[1:], "shingles", "marks", "odd"])
 
 
 def _near_sketches(texts: pd.Series) -> pd.DataFrame:
-    node, prints, bands, marked = [], [], [], []
+    node, prints, bands = [], [], []
     for text in texts:
         shingles = shingle_set(text)
         node.append(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
         prints.append(simhash_fields([shingles], NEAR_FIELDS))
-        least = minimal_hashes(shingles)
-        bands.append(band_keys(least))
-        marked.append(marks(least))
+        bands.append(band_keys(minimal_hashes(shingles, NEAR_BANDS * NEAR_ROWS)))
     signed = lambda x, *shape: np.array(x, np.uint64).reshape(len(texts), *shape).view(np.int64)
     prints = signed(prints, NEAR_FIELDS)
     columns = {f"w{i}": prints[:, i] for i in range(NEAR_FIELDS)}
-    return pd.DataFrame({"node": signed(node), **columns, "bands": list(signed(bands, NEAR_BANDS)), "marks": list(signed(marked, NEAR_MARKS // 8))})
+    return pd.DataFrame({"node": signed(node), **columns, "bands": list(signed(bands, NEAR_BANDS))})
 
 
 def _agreeing(marked: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -349,17 +360,26 @@ def _agreeing(marked: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *found])
 
 
-def _nearest(nodes: np.ndarray, values: np.ndarray, marked: np.ndarray, label: np.ndarray, side: np.ndarray, k: int) -> tuple[list[np.ndarray], bool]:
+def _may_link(odd: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the texts a[i] and b[i] may have a similarity of NEAR_LEAST by their parity maps and sizes; never false for those that have."""
+    least = [np.bitwise_count(odd[a[at : at + MARK_STEP]] ^ odd[b[at : at + MARK_STEP]]).sum(axis=1, dtype=np.int64) for at in range(0, len(a), MARK_STEP)]
+    return np.concatenate([np.zeros(0, np.int64), *least]) <= (sizes[a] + sizes[b]) * NEAR_APART + NEAR_ROUNDING
+
+
+def _nearest(
+    nodes: np.ndarray, values: np.ndarray, marked: np.ndarray, label: np.ndarray, side: np.ndarray, k: int, odd: np.ndarray | None = None, sizes: np.ndarray | None = None
+) -> tuple[list[np.ndarray], bool]:
     """Pairs of each text of a cell and its ``k`` nearest candidates of other labels, and whether any text has more.
 
-    Candidates are what a text finds within NEAR_RADIUS in the Burkhard-Keller tree of the cell's fingerprints.
+    Candidates are what a text finds within NEAR_RADIUS in the Burkhard-Keller tree of the cell's fingerprints; those that the parity
+    maps ``odd`` and the ``sizes`` of the sets exclude go first, as they can be no links.
     ``side``: 0 for texts asked about only, 1 for those compared with each other and with these. Texts of the label that most
     have do not ask: of two texts of different labels one at least does.
     """
     held = np.flatnonzero(side == 1)
     asked = held if len(held) == len(nodes) else np.flatnonzero(side == 0)
-    names, where, sizes = np.unique(label, return_inverse=True, return_counts=True)
-    asks = where != np.argmax(sizes)
+    _, where, held_by = np.unique(label, return_inverse=True, return_counts=True)
+    asks = where != np.argmax(held_by)
     pairs, more = [], False
     # both directions: a text of either side has its own nearest ones
     for left, right in [(asked, held)] if asked is held else [(asked, held), (held, asked)]:
@@ -374,6 +394,9 @@ def _nearest(nodes: np.ndarray, values: np.ndarray, marked: np.ndarray, label: n
             j, i = (np.concatenate(x) for x in zip(*found, strict=True))
             other = label[part[i]] != label[right[j]]
             i, j = i[other], j[other]
+            if odd is not None:
+                possible = _may_link(odd, sizes, part[i], right[j])
+                i, j = i[possible], j[possible]
             apart = NEAR_MARKS - _agreeing(marked, part[i], right[j])
             close = apart <= NEAR_MARKS - NEAR_MARKS_LEAST
             i, j, apart = i[close], j[close], apart[close]
@@ -404,10 +427,11 @@ def _near_pairs(k: int):
             if not flush:
                 start, stop = start[:-1], stop[:-1]
             values = np.ascontiguousarray(data[6 : 6 + NEAR_FIELDS].T).view(np.uint64)
-            marked = np.ascontiguousarray(data[6 + NEAR_FIELDS :].T).view(np.uint8)
+            marked, odd = (np.ascontiguousarray(x.T) for x in np.split(data[7 + NEAR_FIELDS :], [NEAR_MARKS // 8]))
+            marked, odd, sizes = marked.view(np.uint8), odd.view(np.uint64), data[6 + NEAR_FIELDS]
             found, unfinished = [np.zeros((2, 0), np.int64)], []
             for s, e in zip(start.tolist(), stop.tolist(), strict=True):
-                pairs, more = _nearest(data[3, s:e], values[s:e], marked[s:e], data[5, s:e], data[4, s:e], k)
+                pairs, more = _nearest(data[3, s:e], values[s:e], marked[s:e], data[5, s:e], data[4, s:e], k, odd[s:e], sizes[s:e])
                 found += pairs
                 if more:
                     unfinished.append(s)
@@ -444,13 +468,17 @@ def _near_cells(keyed: DataFrame, roots: DataFrame, shard: int) -> DataFrame:
     )
 
 
-def _confirmed(pairs: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """The pairs whose shingle sets, made anew from the texts, have a similarity of NEAR_LEAST and more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(prints.select("node", F.col("best.text_key").alias("text_key")), "node")
-    wanted = durable(wanted)
+def _sets(nodes: DataFrame, prints: DataFrame, fields: list[str], docs: DataFrame, text_col: str) -> DataFrame:
+    """node, fingerprint, shingle set, marks and parity map of ``nodes`` (one column, distinct), made anew from the texts."""
+    wanted = durable(nodes.join(prints.select("node", *fields, F.col("best.text_key").alias("text_key")), "node"))
     texts = docs.select(text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
     texts = maybe_member(texts, wanted.select("text_key").distinct(), "text_key").filter("maybe_").join(wanted, "text_key").dropDuplicates(["node"])
-    sets = durable(texts.select("node", "text").mapInArrow(_shingle_sets, "node long, shingles array<long>"))
+    schema = ", ".join(f"{c} long" for c in ["node", *fields]) + ", shingles array<long>, marks array<long>, odd array<long>"
+    return texts.select("text", "node", *fields).mapInArrow(_shingle_sets, schema)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets have a similarity of NEAR_LEAST and more."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     return both.filter(shared / (F.size("of_a") + F.size("of_b") - shared) >= NEAR_LEAST).select("a", "b")
@@ -484,22 +512,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of a band. A tree is first asked for stars, mostly each text and the smallest of its band, which joins most groups by as many
     comparisons as they have members. Only bands whose texts are then still of several components go on: their texts
     are compared with their ``first`` nearest candidates of other components, then with more, until every candidate
-    pair is either compared or inside a component.
+    pair is compared, inside a component or excluded by its parity maps. Sets, marks and parity maps are made once, of texts
+    that share a band.
     """
     fields = [f"w{i}" for i in range(NEAR_FIELDS)]
-    sketches = F.pandas_udf(_near_sketches, "node long, " + ", ".join(f"{w} long" for w in fields) + ", bands array<long>, marks array<long>")
-    marked = [F.col("marks")[i].alias(f"m{i}") for i in range(NEAR_MARKS // 8)]
+    sketches = F.pandas_udf(_near_sketches, "node long, " + ", ".join(f"{w} long" for w in fields) + ", bands array<long>")
+    sketch = [F.size("shingles").cast("long").alias("size")]
+    sketch += [F.col(c)[i].alias(f"{c}{i}") for c, n in (("marks", NEAR_MARKS // 8), ("odd", NEAR_ODD // 64)) for i in range(n)]
     base = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("text_key"), sketches(F.col(text_col)).alias("fp"))
     base = durable(base.select("id", "text_key", "fp.*"))
-    prints = durable(base.groupBy("node").agg(_best(), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in [*fields, "bands", "marks"]]))
+    prints = durable(base.groupBy("node").agg(_best(), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in [*fields, "bands"]]))
     keyed = durable(_shared_bands(prints))
-    roots = connected_components(_confirmed(durable(_stars(keyed, prints, fields, shard)), prints, docs, text_col))
+    sets = durable(_sets(keyed.select("node").distinct(), prints, fields, docs, text_col))
+    roots = connected_components(_confirmed(durable(_stars(keyed, prints, fields, shard)), sets))
     cells, k = durable(_near_cells(keyed.select("key", "node"), roots, shard)), first
+    sketches = sets.select("node", *fields, *sketch)
     while not cells.isEmpty():
-        members = _labelled(cells.join(prints.select("node", *fields, "marks"), "node"), roots).select("key", "i", "j", "node", "side", "label", *fields, *marked)
+        members = _labelled(cells.join(sketches, "node"), roots).select("key", "i", "j", "node", "side", "label", *sketches.columns[1:])
         spread = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
         found = durable(spread.mapInArrow(_near_pairs(k), "a long, b long, key long, i long, j long"))
-        fresh = _confirmed(durable(found.filter("a is not null").select("a", "b").distinct()), prints, docs, text_col)
+        fresh = _confirmed(durable(found.filter("a is not null").select("a", "b").distinct()), sets)
         roots = connected_components(roots.unionByName(fresh))
         unfinished = found.filter("a is null").select("key", "i", "j")
         cells = durable(cells.join(unfinished, ["key", "i", "j"], "left_semi"))
