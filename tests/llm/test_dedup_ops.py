@@ -367,6 +367,49 @@ def test_frequent_terms_are_not_walked(bounded, monkeypatch):
         assert sum(walked) <= (tf[:, asked[asked >= 20]] > 0).sum()
 
 
+@pytest.mark.parametrize("bounded", [True, False])
+def test_sums_in_32_bits_choose_and_exact_ones_rank(bounded, monkeypatch):
+    """Terms of one document in fourteen are in the 32-bit matrix; scores that such sums cannot tell apart are still ranked exactly."""
+    rng = np.random.default_rng(5)
+    docs, words, k = 1400, 40, 9
+    tf = np.where(rng.random((docs, words)) < np.r_[np.full(30, 0.7), np.full(10, 0.02)], 1, 0)
+    tf[:, 28:30] = 0
+    tf[::12, 28] = tf[5::13, 29] = 1
+    tf[:60] = tf[0]  # a large group of ties
+    terms, idf = np.sort(rng.integers(-(1 << 63), (1 << 63) - 1, words)), rng.random(words) * 8 + 0.1
+    rows, columns = np.nonzero(tf)
+    ids, sizes = rng.permutation(docs), rng.integers(300, 320, docs).astype(float)
+    sizes[:60] = 310
+    by_id = np.argsort(ids)
+    index = bm25_search.ShardIndex(ids, sizes, tf.sum(axis=1), terms[columns], tf[rows, columns], sizes.mean(), terms, idf)
+    assert index.dense.dtype == np.float32
+    norm = bm25_search.K1 * (1 - bm25_search.B + bm25_search.B * sizes / sizes.mean())
+    units = np.floor(idf * (tf * (bm25_search.K1 + 1) / (tf + norm[:, None])) * bm25_search.UNIT + 0.5)[by_id]
+    walked = []
+    plain = bm25_search.ShardIndex._sparse_scores
+    monkeypatch.setattr(bm25_search.ShardIndex, "_sparse_scores", lambda self, first, last, *rest: walked.append(int((last - first).sum())) or plain(self, first, last, *rest))
+    monkeypatch.setattr(bm25_search.Bounds, "wanted", lambda self: bounded)
+    for asked in (np.arange(words), rng.permutation(words)[:25], np.array([28]), np.array([28, 29]), np.array([35, 2])):
+        times = rng.integers(1, 9000, len(asked)).astype(float)
+        scores = units[:, asked] @ times
+        want = sorted((-s, i) for i, s in enumerate(scores.tolist()) if s)[:k]
+        walked.clear()
+        found, got = index.search(asked, times, k, (np.zeros(0, np.int64), np.zeros(0)))
+        assert [(-s, i) for i, s in zip(found.tolist(), got.tolist(), strict=True)] == want
+        assert sum(walked) <= (tf[:, asked[asked >= 30]] > 0).sum()
+
+
+def test_numbers_of_keys():
+    """Hashes are found by their first bits, other numbers by bisection; keys that are no terms have no number."""
+    rng = np.random.default_rng(6)
+    hashes = rng.integers(-(1 << 63), (1 << 63) - 1, 3000)
+    for terms in (np.unique(hashes), np.arange(-500, 500) * 7, np.array([-(1 << 63), 0, (1 << 63) - 1]), np.array([5]), np.zeros(0, np.int64)):
+        keys = np.r_[rng.permutation(terms), terms + 1, rng.integers(-(1 << 63), (1 << 63) - 1, 50), -(1 << 63), (1 << 63) - 1]
+        place = {t: i for i, t in enumerate(terms.tolist())}
+        assert bm25_search._numbers(terms, keys).tolist() == [place.get(x, -1) for x in keys.tolist()]
+    assert len(bm25_search._numbers(np.arange(3), np.zeros(0, np.int64))) == 0
+
+
 def test_near_candidates_come_from_trees(monkeypatch):
     """A cell's candidates are those its Burkhard-Keller tree finds: the k nearest of other labels, in both directions."""
     rng = np.random.default_rng(12)
