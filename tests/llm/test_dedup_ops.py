@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -371,15 +372,17 @@ def test_frequent_terms_are_not_walked(bounded, monkeypatch):
 def test_sums_in_32_bits_choose_and_exact_ones_rank(bounded, monkeypatch):
     """Terms of one document in fourteen are in the 32-bit matrix; scores that such sums cannot tell apart are still ranked exactly."""
     rng = np.random.default_rng(5)
-    docs, words, k = 1400, 40, 9
+    docs, words = 1400, 40
     tf = np.where(rng.random((docs, words)) < np.r_[np.full(30, 0.7), np.full(10, 0.02)], 1, 0)
     tf[:, 28:30] = 0
     tf[::12, 28] = tf[5::13, 29] = 1
     tf[:60] = tf[0]  # a large group of ties
+    tf[100:500, :28] = 1 - np.eye(28, dtype=int)[np.arange(400) % 14]  # each of 14 words is missing in turn
     terms, idf = np.sort(rng.integers(-(1 << 63), (1 << 63) - 1, words)), rng.random(words) * 8 + 0.1
     rows, columns = np.nonzero(tf)
-    ids, sizes = rng.permutation(docs), rng.integers(300, 320, docs).astype(float)
-    sizes[:60] = 310
+    ids, sizes = rng.permutation(docs), rng.integers(1_000_000, 1_000_040, docs).astype(float)
+    sizes[:60] = sizes[100:500] = 1_000_000
+    idf[:28] = 2.5
     by_id = np.argsort(ids)
     index = bm25_search.ShardIndex(ids, sizes, tf.sum(axis=1), terms[columns], tf[rows, columns], sizes.mean(), terms, idf)
     assert index.dense.dtype == np.float32
@@ -389,8 +392,10 @@ def test_sums_in_32_bits_choose_and_exact_ones_rank(bounded, monkeypatch):
     plain = bm25_search.ShardIndex._sparse_scores
     monkeypatch.setattr(bm25_search.ShardIndex, "_sparse_scores", lambda self, first, last, *rest: walked.append(int((last - first).sum())) or plain(self, first, last, *rest))
     monkeypatch.setattr(bm25_search.Bounds, "wanted", lambda self: bounded)
-    for asked in (np.arange(words), rng.permutation(words)[:25], np.array([28]), np.array([28, 29]), np.array([35, 2])):
-        times = rng.integers(1, 9000, len(asked)).astype(float)
+    some = [(asked, rng.integers(1, 9000, len(asked))) for asked in (np.arange(words), rng.permutation(words)[:25], np.array([28]), np.array([28, 29]), np.array([35, 2]))]
+    some += [(np.arange(28), np.r_[(1 << 23) + rng.permutation(14), rng.integers(1 << 22, 1 << 23, 14)]) for _ in range(5)]  # the missing words differ by one time
+    for k, (asked, times) in ((k, x) for k in (1, 2, 9) for x in some):
+        times = times.astype(float)
         scores = units[:, asked] @ times
         want = sorted((-s, i) for i, s in enumerate(scores.tolist()) if s)[:k]
         walked.clear()
@@ -399,6 +404,37 @@ def test_sums_in_32_bits_choose_and_exact_ones_rank(bounded, monkeypatch):
         assert sum(walked) <= (tf[:, asked[asked >= 30]] > 0).sum()
 
 
+def test_a_task_gives_one_row_for_a_query():
+    """Batches and shards of a task are merged: a query has one row with its best, and none if nothing answers it."""
+    docs = [{1: 2, 5: 1}, {5: 3}, {}, {1: 1}, {1: 2, 5: 1}, {9: 4}]
+    terms, idf = np.array([1, 5, 7]), np.array([1.5, 0.5, 2.0])
+    asked = [{1: 1, 5: 2}, {7: 3}, {5: 1}]
+    edge = np.r_[0, np.cumsum([len(q) for q in asked])]
+    flat = [(int(np.searchsorted(terms, t)), c) for q in asked for t, c in q.items()]
+
+    class Sent:
+        value = (np.array([3, 4, 8]), np.array([30, 40, 80]), edge, *np.array(flat, np.int32).T, terms, idf)
+
+    def batch(start, stop):
+        part = docs[start:stop]
+        columns = [pa.array(range(start, stop), pa.int64()), pa.array([sum(d.values()) for d in part], pa.int64())]
+        columns += [pa.array([list(d) for d in part], pa.list_(pa.int64())), pa.array([list(d.values()) for d in part], pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, ["id", "size", "keys", "tf"])
+
+    average = sum(sum(d.values()) for d in docs) / len(docs)
+
+    def unit(t, d):
+        norm = bm25_search.K1 * (1 - bm25_search.B + bm25_search.B * sum(d.values()) / average)
+        return np.floor(idf[np.searchsorted(terms, t)] * (d[t] * (bm25_search.K1 + 1) / (d[t] + norm)) * bm25_search.UNIT + 0.5)
+
+    for shard in (1, 3, 100):
+        out = pa.Table.from_batches(bm25_search._search_shards(Sent, average, 3, shard)(iter([batch(0, 2), batch(2, 6)]))).to_pylist()
+        assert [(r["row"], r["query_id"]) for r in out] == [(3, 30), (8, 80)]
+        for r, q in zip(out, (asked[0], asked[2]), strict=True):
+            scores = [(-sum(c * unit(t, d) for t, c in q.items() if t in d), i) for i, d in enumerate(docs)]
+            assert [(-u, i) for u, i in zip(r["units"], r["found"], strict=True)] == sorted(x for x in scores if x[0])[:3]
+
+
 def test_numbers_of_keys():
     """Hashes are found by their first bits, other numbers by bisection; keys that are no terms have no number."""
     rng = np.random.default_rng(6)
